@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.plans import oracle_findings, queries_findings
+from lintlake.plans import oracle_findings, queries_code, queries_findings
 
-QUERIES = {**queries_findings.QUERIES}
+QUERIES = {**queries_findings.QUERIES, **queries_code.QUERIES}
 ORACLE = {**oracle_findings.ORACLE}

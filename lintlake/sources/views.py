@@ -105,7 +105,7 @@ def _files_from_documents(spark, sf_dir, repo: Column, path: Column, ext: str, t
     doc = F.col("doc_id")
     lines = F.transform(
         F.split("text", "\n"),
-        lambda _, i: _chosen(templates(doc, i + 1), (doc * 31 + (i + 1) * 7) % 14),
+        lambda _, i: _chosen(templates(doc, i + 1), (doc * 31 + (i + 1) * 5) % 14),
     )
     return d.select(
         repo.alias("repo"), path.alias("path"), F.lit(ext).alias("ext"), F.array_join(lines, "\n").alias("content")
@@ -156,13 +156,13 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("  // @PreAuthorize(\"hasRole('ADMIN')\")"),
             F.lit("  public Order create(@RequestBody OrderDto dto) {"),
             F.lit("  @ExceptionHandler(Exception.class)"),
-            F.lit("    return ResponseEntity.badRequest().body(e.getMessage());"),
+            F.lit("    return ResponseEntity.badRequest().body(e.getMessage()); }"),
             F.lit("  @ManyToOne(cascade = CascadeType.ALL)"),
             F.lit('  @Query("UPDATE Order o SET o.done = true")'),
             F.concat(F.lit("import com.shop.model.File"), k, F.lit(";")),
             F.lit("  public List<Order> findAll() { return restTemplate.getForObject(url, List.class); }"),
             F.lit("  String upload(@RequestParam MultipartFile file, HttpSession session) {"),
-            F.lit("  config.setAllowCredentials(true);"),
+            F.lit("  config.setAllowCredentials(true); }}}"),
             F.lit('  @GetMapping("/api/v1/order_items")'),
         ]
 
@@ -227,6 +227,52 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts next to the pages; three of the eight sites use a translation library."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("site"), (doc % 8).cast("string")).alias("repo"),
+        F.concat(F.lit("src/s"), doc.cast("string"), F.lit(".ts")).alias("path"),
+        F.lit(".ts").alias("ext"),
+        F.when(doc % 8 < 3, F.lit("const { t } = useTranslation();"))
+        .when(doc % 8 == 5, F.lit("app.get('/health', ok); initTracer();"))
+        .otherwise(F.lit("const a = 1;"))
+        .alias("content"),
+    )
+
+
+def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One test file per document, with mocks, assertions and skipped blocks by its number."""
+    doc = F.col("doc_id")
+
+    def some(cond: Column, line: str) -> Column:
+        return F.when(cond, F.lit(line))
+
+    lines = [
+        some(doc % 4 != 3, "@Test void works() {"),
+        some(doc % 5 == 0, "it.skip('later', run);"),
+        some(doc % 3 == 0, "expect(value).toBe(1);"),
+        some(doc % 2 == 0, "@SpringBootTest"),
+        some(doc % 6 == 0, "@WebMvcTest"),
+    ]
+    content = F.concat_ws(
+        "\n",
+        *lines,
+        F.repeat(F.lit("jest.mock('a');\n"), (doc % 8).cast("int")),
+        F.repeat(F.lit("assertEquals(1, one());\n"), F.when(doc % 7 == 1, F.lit(30)).otherwise(F.lit(0))),
+    )
+    ext = F.when(doc % 2 == 0, F.lit(".java")).otherwise(F.lit(".ts"))
+    name = F.when(doc % 2 == 0, F.concat(F.lit("File"), doc.cast("string"), F.lit("Test.java"))).otherwise(
+        F.concat(F.lit("unit-file"), doc.cast("string"), F.lit(".test.ts"))
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("repo"), (doc % 10).cast("string")).alias("repo"),
+        F.concat(F.lit("src/tests/"), name).alias("path"),
+        ext.alias("ext"),
+        content.alias("content"),
+    )
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents themselves, as text files of their source."""
     return table(spark, sf_dir, "documents").select(
