@@ -166,18 +166,18 @@ def _trim(edges: DataFrame) -> DataFrame:
         edges, count = kept, left
 
 
-def _spread(state: DataFrame, edges: DataFrame, own: list[str]) -> DataFrame:
-    """Push the least label along edges until nothing changes; ``own`` restricts to equal values."""
+def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Push the least label along edges until nothing changes."""
     while True:
         pushed = (
-            state.join(edges, (state["repo"] == edges["repo"]) & (state["node"] == edges["src"]))
-            .select(state["repo"], edges["dst"].alias("node"), state["label"].alias("_in"))
-            .groupBy("repo", "node")
+            state.select("repo", F.col("node").alias("src"), F.col("label").alias("_in"))
+            .join(edges.select("repo", "src", "dst"), ["repo", "src"])
+            .groupBy("repo", F.col("dst").alias("node"))
             .agg(F.min("_in").alias("_in"))
         )
         after = cut_lineage(
             state.join(pushed, ["repo", "node"], "left").select(
-                "repo", "node", *own, F.least("label", "_in").alias("label"), (c._in < c.label).alias("_new")
+                "repo", "node", F.least("label", "_in").alias("label"), (c._in < c.label).alias("_new")
             )
         )
         changed = after.where("_new").limit(1).count()
@@ -198,7 +198,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     rest = _trim(edges.select("repo", "src", "dst").distinct())
     while rest.limit(1).count():
         nodes = rest.select("repo", F.col("src").alias("node")).distinct()
-        colored = _spread(nodes.withColumn("label", c.node), rest, [])
+        colored = _spread(nodes.withColumn("label", c.node), rest)
         inside = (
             rest.join(colored.select("repo", F.col("node").alias("src"), F.col("label").alias("a")), ["repo", "src"])
             .join(colored.select("repo", F.col("node").alias("dst"), F.col("label").alias("b")), ["repo", "dst"])

@@ -24,7 +24,7 @@ from lintlake.sources.views_projects import project_files
 
 AS_OF = "2024-06-01"
 CUSTOM = [("no-loose-total", r"total \+= \d+", "medium"), ("no-router", r"router\.get\(", "low")]
-SHORT = replace(DEFAULT_POLICY, file_lengths=(20, 60), function_lengths=(4, 12))
+SHORT = replace(DEFAULT_POLICY, file_lengths=(20, 60), function_lengths=(2, 3))
 
 
 def as_of():

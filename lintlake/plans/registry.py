@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.plans import oracle_findings, queries_code, queries_findings
+from lintlake.plans import oracle_code, oracle_findings, queries_code, queries_findings
 
 QUERIES = {**queries_findings.QUERIES, **queries_code.QUERIES}
-ORACLE = {**oracle_findings.ORACLE}
+ORACLE = {**oracle_findings.ORACLE, **oracle_code.ORACLE}
