@@ -141,10 +141,11 @@ ch AS (SELECT doc_id, line_no, i, substr(line, i, 1) AS c FROM (SELECT doc_id, l
 br AS (SELECT *, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line_no, i) AS depth,
    row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) AS pos FROM ch WHERE c IN ('{', '}')),
 op AS (SELECT doc_id, line_no, min(pos) AS pos FROM br WHERE c = '{' GROUP BY ALL),
-st AS (SELECT s.*, o.pos, b.depth - 1 + (SELECT count(*) FROM br x WHERE x.doc_id = s.doc_id AND x.line_no = s.line_no AND x.pos < o.pos AND x.c = '}') AS base
+st AS (SELECT s.*, o.pos, b.depth - 1 AS base
    FROM STARTS s JOIN op o USING (doc_id, line_no) JOIN br b ON b.doc_id = s.doc_id AND b.pos = o.pos),
 sp AS (SELECT s.repo, s.path, s.name, s.line_no AS start, min(e.line_no) - s.line_no + 1 AS lines, s.doc_id
-   FROM st s JOIN br e ON e.doc_id = s.doc_id AND e.c = '}' AND e.pos > s.pos AND e.depth = s.base GROUP BY ALL)
+   FROM st s JOIN br e ON e.doc_id = s.doc_id AND e.c = '}' AND e.pos > s.pos AND e.depth = s.base
+   GROUP BY s.repo, s.path, s.name, s.line_no, s.pos, s.doc_id)
 """
 STARTS = "(SELECT *, CASE n WHEN 0 THEN 'fn' || doc_id WHEN 1 THEN 'if' ELSE 'for' END AS name FROM cl WHERE n IN (0, 1, 2))"
 SPANS = CL + "," + BRACES.replace("SRC", "cl").replace("STARTS", STARTS)
@@ -242,10 +243,11 @@ STYLE = """
 sv AS (SELECT DISTINCT repo, 'family' AS kind, 'face' || ((doc_id + line_no) % 6) AS value FROM sl WHERE n = 4
    UNION SELECT repo, 'size', ((doc_id + line_no) % 20) || 'px' FROM sl WHERE n = 5
    UNION SELECT repo, 'shadow', '0 0 ' || ((doc_id + line_no) % 8) || 'px black' FROM sl WHERE n = 7
+   UNION SELECT repo, 'shadow', 'none' FROM sl WHERE n = 12
    UNION SELECT repo, 'duration', ((doc_id + line_no) % 7) || '00ms' FROM sl WHERE n = 8
    UNION SELECT repo, 'breakpoint', ((doc_id + line_no) % 9) || '00px' FROM sl WHERE n = 9),
 sc AS (SELECT repo, kind, count(*) AS n FROM sv GROUP BY ALL),
-sf AS (SELECT repo, min(struct_pack(path := path, line := line_no)) AS f, least(count(*), 3) AS places FROM sl WHERE n = 7 GROUP BY repo)
+sf AS (SELECT repo, min(struct_pack(path := path, line := line_no)) AS f, least(count(*), 3) AS places FROM sl WHERE n IN (7, 12) GROUP BY repo)
 """
 
 TEST_PATHS = """
@@ -376,21 +378,21 @@ ORACLE = {
     ),
     "persistence": q(
         ", ".join([JL, FIRST_JAVA])
-        + ", cs AS (SELECT f.*, j.line, greatest(f7 - 1, 1) AS at FROM fj f JOIN jl j ON j.doc_id = f.doc_id AND j.line_no = greatest(f7 - 1, 1))",
+        + ", cs AS (SELECT f.*, j.line, greatest(f7 - 1, 1) AS first_at FROM fj f JOIN jl j ON j.doc_id = f.doc_id AND j.line_no = greatest(f7 - 1, 1))",
         hit("jpa-data-on-entity", "tech-debt", 0.95, "'high'", "fj", "f0 IS NOT NULL", line="f0"),
         hit("jpa-missing-version", "tech-debt", 0.80, "'medium'", "fj", "f0 IS NOT NULL", line="NULL"),
-        hit("jpa-cascade-all-many-to-one", "tech-debt", 0.90, "'high'", "cs", "f0 IS NOT NULL", line="at", snip=SNIP),
+        hit("jpa-cascade-all-many-to-one", "tech-debt", 0.90, "'high'", "cs", "f0 IS NOT NULL AND f7 IS NOT NULL", line="first_at", snip=SNIP),
         hit("jpa-missing-modifying", "tech-debt", 0.90, "'medium'", "jl", "n = 8", snip=SNIP),
     ),
     "a11y_pages": q(
         PG
-        + """, at AS (SELECT *, len(string_split(split_part(content, '<img', 1), chr(10))) AS img, len(string_split(split_part(content, '<button', 1), chr(10))) AS btn,
+        + """, ay AS (SELECT *, len(string_split(split_part(content, '<img', 1), chr(10))) AS img, len(string_split(split_part(content, '<button', 1), chr(10))) AS btn,
               len(string_split(split_part(content, '<input', 1), chr(10))) AS inp,
               list_filter(regexp_extract_all(content, '(?i)<img[^>]*>'), lambda x: NOT regexp_matches(x, '(?i)\\balt\\s*=')) AS imgs FROM pg)""",
-        hit("img-missing-alt", "accessibility", 0.90, "'medium'", "at", "len(imgs) > 0", line="img", snip="imgs[1]"),
-        hit("interactive-no-accessible-name", "accessibility", 0.85, "'high'", "at", "contains(content, '<button class=\"x\"></button>')", line="btn", snip="'<button class=\"x\"></button>'"),
-        hit("html-missing-lang", "accessibility", 0.95, "'medium'", "at", "contains(content, '<html>')", line="1"),
-        hit("input-missing-label", "accessibility", 0.75, "'medium'", "at", "page_id % 4 = 2", line="inp"),
+        hit("img-missing-alt", "accessibility", 0.90, "'medium'", "ay", "len(imgs) > 0", line="img", snip="imgs[1]"),
+        hit("interactive-no-accessible-name", "accessibility", 0.85, "'high'", "ay", "contains(content, '<button class=\"x\"></button>')", line="btn", snip="'<button class=\"x\"></button>'"),
+        hit("html-missing-lang", "accessibility", 0.95, "'medium'", "ay", "contains(content, '<html>')", line="1"),
+        hit("input-missing-label", "accessibility", 0.75, "'medium'", "ay", "page_id % 4 = 2", line="inp"),
     ),
     "function_spans": titled(SPANS, "SELECT repo, path, name, CAST(start AS INTEGER) AS start, CAST(lines AS INTEGER) AS lines FROM sp"),
     "long_functions": q(
@@ -641,7 +643,7 @@ ORACLE = {
     ),
     "suggested_paths": titled(
         """nm0 AS (SELECT p_partkey AS k, ['get','create','list','users','find','remove'][p_partkey % 6 + 1] AS verb,
-              array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], CASE WHEN p_partkey % 4 = 0 THEN '_' ELSE '' END) AS name FROM part),
+              replace(array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], ' '), ' ', CASE WHEN p_partkey % 4 = 0 THEN '_' ELSE '' END) AS name FROM part),
            nm AS (SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE name END AS used FROM nm0)""",
         """SELECT k AS part, '/api/' || verb || used || '/:id' AS path,
              lower(regexp_replace(regexp_replace(replace(name, '_', '-'), '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')) AS kebab,
@@ -650,7 +652,7 @@ ORACLE = {
     ),
     "size_labels": titled(
         "sz AS (SELECT DISTINCT l_orderkey, CAST(floor(l_extendedprice * l_quantity) AS BIGINT) AS bytes FROM lineitem)",
-        """SELECT l_orderkey, bytes, CASE WHEN bytes >= 1048576 THEN printf('%.2f MiB', bytes / 1048576.0::DOUBLE) WHEN bytes >= 1024 THEN printf('%.1f KiB', bytes / 1024.0::DOUBLE)
+        """SELECT l_orderkey, bytes, CASE WHEN bytes >= 1048576 THEN printf('%.2f MiB', floor(bytes / 1048576.0::DOUBLE * 100 + 0.5) / 100) WHEN bytes >= 1024 THEN printf('%.1f KiB', floor(bytes / 1024.0::DOUBLE * 10 + 0.5) / 10)
              ELSE bytes || ' B' END AS label FROM sz""",
     ),
     "inferred_runs": titled(

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from lintlake.plans import oracle_code, oracle_findings, queries_code, queries_findings
+from lintlake.plans import (
+    oracle_code,
+    oracle_evaluate,
+    oracle_findings,
+    queries_code,
+    queries_evaluate,
+    queries_findings,
+)
 
-QUERIES = {**queries_findings.QUERIES, **queries_code.QUERIES}
-ORACLE = {**oracle_findings.ORACLE, **oracle_code.ORACLE}
+QUERIES = {**queries_findings.QUERIES, **queries_code.QUERIES, **queries_evaluate.QUERIES}
+ORACLE = {**oracle_findings.ORACLE, **oracle_code.ORACLE, **oracle_evaluate.ORACLE}
