@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.scalars import TITLE_SIMILARITY, js_round, lookup, normalize_path, title_words
 from lintlake.operators.detect import c
-from lintlake.operators.positions import numbered_positions
+from lintlake.operators.positions import numbered_positions, positions_of_checked_size
 from lintlake.policy import SEVERITY_WEIGHTS
 from lintlake.session import cut_lineage
 
@@ -124,9 +124,9 @@ def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | N
         F.lit(1).alias("level"),
         F.lit(1).cast("bigint").alias("pos"),
     ).withColumn("key", F.element_at("keys", c.level))
-    held = None
-    while True:
-        ranked = numbered_positions(active, [*RUN, "level", "key"], ["t_ord"], "rank")
+    held, left = None, active.count()
+    while left:
+        ranked = positions_of_checked_size(active, left, [*RUN, "level", "key"], ["t_ord"], "rank")
         asked = ranked.withColumn("pos", F.greatest("pos", "rank")).drop("rank").join(
             choices, [*RUN, "level", "key", "pos"], "left"
         )
@@ -142,8 +142,9 @@ def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | N
             refused.select(*columns).unionByName(exhausted.where(c.level <= len(MATCH_TYPES)).select(*columns))
             .withColumn("key", F.element_at("keys", c.level))
         )
-        if not active.limit(1).count():
-            break
+        left = active.count()
+    if held is None:
+        held = choices.withColumn("t_ord", F.lit(None).cast("bigint")).where(F.lit(False))
     matched = held.select(*RUN, F.col("t_ord").alias("ord"), F.col("id").alias("finding_id"), "level")
     return (
         truth.join(runs, "fixture")
