@@ -7,6 +7,7 @@ evidence)``. A run is one ``(fixture, tier, run)``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ MIN_SYMPTOMS = 2
 GATES = {"precision": 0.6, "recall": 0.5, "variance": 0.15, "actionability": 3.0}
 NO_ROOT_CAUSE = "(no root cause)"
 DIGITS = 3
+SMALL_RUN = 500_000
 # ----------------------------------------------------------------------------------------
 
 RUN = ["fixture", "tier", "run"]
@@ -92,43 +94,62 @@ def _choices(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     same_title = alike.join(
         predictions.select(*RUN, "domain", F.col("title").alias("title_r"), "id", "ord"), [*RUN, "domain", "title_r"]
     ).select(*RUN, F.lit(3).alias("level"), key_text(c.domain, c.title_l).alias("key"), "id", "ord")
-    first = (
+    return (
         near.unionByName(same_file).unionByName(same_title)
         .groupBy(*RUN, "level", "key", "id")
         .agg(F.min("ord").alias("ord"))
     )
-    return numbered_positions(first, [*RUN, "level", "key"], ["ord"], "pos").drop("ord")
 
 
-def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Greedy one-to-one matching in truth order, computed for all rows at once.
+def _match_small_runs(rows: DataFrame, choices: DataFrame) -> DataFrame:
+    """Row by row in truth order, one task per run; for runs of a checked size."""
+
+    def pick(truth: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        ordered = lists.sort_values("ord", kind="stable").groupby(["level", "key"], sort=False)["id"].agg(list).to_dict()
+        at = dict.fromkeys(ordered, 0)
+        used, out = set(), []
+        for row in truth.sort_values("t_ord").itertuples():
+            for level, key in enumerate(row.keys, start=1):
+                ids = ordered.get((level, key), ())
+                n = at.get((level, key), 0)
+                while n < len(ids) and ids[n] in used:
+                    n += 1
+                at[(level, key)] = n
+                if n < len(ids):
+                    used.add(ids[n])
+                    out.append((row.fixture, row.tier, row.run, row.t_ord, ids[n], level))
+                    break
+        return pd.DataFrame(out, columns=[*RUN, "ord", "finding_id", "level"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*RUN).schema)
+    lists = choices.toDF(*[f"list_{n}" if n in RUN else n for n in choices.columns])
+    return (
+        rows.groupBy(*RUN).cogroup(lists.groupBy(*[f"list_{n}" for n in RUN]))
+        .applyInPandas(pick, f"{schema}, ord bigint, finding_id string, level int")
+    )
+
+
+def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
+    """The same matching for runs of any size, by joins and aggregations only.
 
-    Truth rows take their best remaining finding one after the other. The same result
-    is reached by proposals: every unmatched row proposes the best finding that has not
-    refused it, and a finding keeps the earliest row that asks. The k-th of several rows
-    with the same list can never get one of its first k-1 entries, so it starts at the
-    k-th; many rows at one place settle in a few rounds. All steps are joins and
-    aggregations by run and key.
+    Every unmatched row proposes the best finding that has not refused it, and a finding
+    keeps the earliest row that asks. The k-th of several rows with the same list can
+    never get one of its first k-1 entries, so it starts at the k-th; many rows at one
+    place settle in a few rounds.
     """
-    runs = runs_of(predictions) if runs is None else runs.select(*RUN).distinct()
-    rows = (
-        truth.withColumn("file", normalize_path(c.file))
-        .join(runs, "fixture")
-        .select(*RUN, F.col("ord").alias("t_ord"), "file", "line", "domain", "title")
-    )
-    choices = cut_lineage(_choices(rows, predictions))
-    active = rows.select(
-        *RUN,
-        "t_ord",
-        F.array(key_text(c.file, c.line), key_text(c.file, c.domain), key_text(c.domain, c.title)).alias("keys"),
-        F.lit(1).alias("level"),
-        F.lit(1).cast("bigint").alias("pos"),
-    ).withColumn("key", F.element_at("keys", c.level))
+    lists = numbered_positions(choices, [*RUN, "level", "key"], ["ord"], "pos").drop("ord")
+    lists = cut_lineage(lists)
+    columns = [*RUN, "t_ord", "keys", "level", "pos"]
+
+    def with_key(df: DataFrame) -> DataFrame:
+        return df.withColumn("key", F.element_at("keys", c.level))
+
+    active = with_key(rows.select("*", F.lit(1).alias("level"), F.lit(1).cast("bigint").alias("pos")))
     held, left = None, active.count()
     while left:
         ranked = positions_of_checked_size(active, left, [*RUN, "level", "key"], ["t_ord"], "rank")
         asked = ranked.withColumn("pos", F.greatest("pos", "rank")).drop("rank").join(
-            choices, [*RUN, "level", "key", "pos"], "left"
+            lists, [*RUN, "level", "key", "pos"], "left"
         )
         if held is not None:
             asked = asked.unionByName(held)
@@ -136,16 +157,43 @@ def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | N
         state = cut_lineage(asked.join(keeper, [*RUN, "id"], "left"))
         held = state.where(c.keeper == c.t_ord).drop("keeper")
         refused = state.where(c.id.isNotNull() & (c.keeper != c.t_ord)).withColumn("pos", c.pos + 1)
-        exhausted = state.where(c.id.isNull()).withColumn("level", c.level + 1).withColumn("pos", F.lit(1).cast("bigint"))
-        columns = [*RUN, "t_ord", "keys", "level", "pos"]
-        active = (
-            refused.select(*columns).unionByName(exhausted.where(c.level <= len(MATCH_TYPES)).select(*columns))
-            .withColumn("key", F.element_at("keys", c.level))
-        )
+        exhausted = state.where(c.id.isNull() & (c.level < len(MATCH_TYPES)))
+        exhausted = exhausted.withColumn("level", c.level + 1).withColumn("pos", F.lit(1).cast("bigint"))
+        active = with_key(refused.select(*columns).unionByName(exhausted.select(*columns)))
         left = active.count()
-    if held is None:
-        held = choices.withColumn("t_ord", F.lit(None).cast("bigint")).where(F.lit(False))
-    matched = held.select(*RUN, F.col("t_ord").alias("ord"), F.col("id").alias("finding_id"), "level")
+    return held.select(*RUN, F.col("t_ord").alias("ord"), F.col("id").alias("finding_id"), "level")
+
+
+def match_findings(
+    truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, small_run: int = SMALL_RUN
+) -> DataFrame:
+    """Greedy one-to-one matching: truth rows take their best remaining finding in order.
+
+    The choices of all rows come from equi joins. Runs whose choices and rows were counted
+    to be at most ``small_run`` are walked in one task each; larger ones settle in
+    rounds of proposals, which have the same result.
+    """
+    runs = runs_of(predictions) if runs is None else runs.select(*RUN).distinct()
+    base = (
+        truth.withColumn("file", normalize_path(c.file))
+        .join(runs, "fixture")
+        .select(*RUN, F.col("ord").alias("t_ord"), "file", "line", "domain", "title")
+    )
+    choices = cut_lineage(_choices(base, predictions))
+    rows = base.select(
+        *RUN,
+        "t_ord",
+        F.array(key_text(c.file, c.line), key_text(c.file, c.domain), key_text(c.domain, c.title)).alias("keys"),
+    )
+    sizes = (
+        choices.select(*RUN).unionByName(rows.select(*RUN)).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
+    )
+    large = cut_lineage(sizes.where(c.n > small_run).select(*RUN))
+    matched = _match_small_runs(rows.join(large, RUN, "left_anti"), choices.join(large, RUN, "left_anti"))
+    if large.limit(1).count():
+        matched = matched.unionByName(
+            _match_by_proposals(rows.join(large, RUN, "left_semi"), choices.join(large, RUN, "left_semi"))
+        )
     return (
         truth.join(runs, "fixture")
         .join(matched, [*RUN, "ord"], "left")
