@@ -133,7 +133,7 @@ fj AS (SELECT doc_id, repo, path, """ + ", ".join(f"min(line_no) FILTER (n = {i}
 LEAKS = """
 lk0 AS (SELECT *, max(line_no) FILTER (n = 5) OVER w AS handler, max(line_no) FILTER (n = 6) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
    FROM jl WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-lk AS (SELECT * FROM lk0 WHERE n = 6 AND handler IS NOT NULL AND line_no - handler <= 30 AND (before IS NULL OR before < handler))
+lk AS (SELECT * FROM lk0 WHERE n = 6 AND handler IS NOT NULL AND line_no - handler <= 31 AND (before IS NULL OR before < handler))
 """
 
 BRACES = """

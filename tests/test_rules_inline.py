@@ -79,9 +79,9 @@ def test_java_rules_stay_quiet_on_sound_code(files_of):
 
 
 def test_handler_leak_reach_and_reset(files_of):
-    text = "\n".join(["@ExceptionHandler(A.class)", *["x"] * 30, "e.getMessage()", "@ExceptionHandler", "e.toString()", "e.toString()"])
+    text = "\n".join(["@ExceptionHandler(A.class)", *["x"] * 31, "e.getMessage()", "@ExceptionHandler", "e.toString()", "e.toString()"])
     leaks = RF.java_security(files_of(("r", {"A.java": text}))).collect()
-    assert [(r.rule, r.evidence[0].line) for r in leaks] == [("error-info-leak", 34)]
+    assert [(r.rule, r.evidence[0].line) for r in leaks] == [("error-info-leak", 35)]
 
 
 def test_cors_rules_exclude_each_other(files_of):
