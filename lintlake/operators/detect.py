@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,17 +43,20 @@ def is_dotted(path: Column) -> Column:
     return path.rlike(r"(?:^|/)\.")
 
 
-def scope(files: DataFrame, exts=None, dot: bool = False, ignore_dirs=(), skip_tests: bool = False) -> DataFrame:
-    """Files a rule looks at: by extension, outside ignored folders, without dotfiles."""
-    path = F.col("path")
-    cond = ~in_ignored_dir(path, ignore_dirs)
+def in_scope(exts=None, dot: bool = False, ignore_dirs=(), skip_tests: bool = False) -> Column:
+    """Whether a rule looks at a file: extension, no ignored folder, no dotfile."""
+    cond = ~in_ignored_dir(c.path, ignore_dirs)
     if exts is not None:
-        cond = F.col("ext").isin(list(exts)) & cond
+        cond = c.ext.isin(list(exts)) & cond
     if not dot:
-        cond = cond & ~is_dotted(path)
+        cond = cond & ~is_dotted(c.path)
     if skip_tests:
-        cond = cond & ~path.rlike(TEST_INFRA)
-    return files.where(cond)
+        cond = cond & ~c.path.rlike(TEST_INFRA)
+    return cond
+
+
+def scope(files: DataFrame, exts=None, dot: bool = False, ignore_dirs=(), skip_tests: bool = False) -> DataFrame:
+    return files.where(in_scope(exts, dot, ignore_dirs, skip_tests))
 
 
 def place(file: Column, line: Column | None = None, snip: Column | None = None) -> Column:
@@ -95,6 +99,32 @@ def emit(df: DataFrame, *hits: Column, each=()) -> DataFrame:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` as an array, with the value computed once and nulls left out."""
+    return F.array_compact(F.transform(F.array(value), body))
+
+
+@dataclass(frozen=True)
+class FileRules:
+    """Rules that share a scope: ``hits`` are single structs, ``each`` arrays of structs."""
+
+    on: Column
+    hits: tuple = ()
+    each: tuple = ()
+
+    def found(self) -> Column:
+        parts = ([F.array_compact(F.array(*self.hits))] if self.hits else []) + list(self.each)
+        return F.when(self.on, F.flatten(F.array_compact(F.array(*parts))))
+
+
+def detect_in_files(files: DataFrame, parts: list[FileRules]) -> DataFrame:
+    """All given rules in one pass over the files; ``c.lines`` is the text split once."""
+    wanted = reduce(lambda a, b: a | b, [p.on for p in parts])
+    lined = files.where(wanted).withColumn("lines", F.split("content", "\n"))
+    found = F.flatten(F.array_compact(F.array(*[p.found() for p in parts])))
+    return lined.select("repo", F.explode(found).alias("f")).select("repo", "f.*")
+
+
 def one(file: Column, line: Column | None = None, snip: Column | None = None) -> Column:
     return F.array(place(file, line, snip))
 

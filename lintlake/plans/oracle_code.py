@@ -660,3 +660,32 @@ ORACLE = {
         """SELECT k, ['A','B','C','C',NULL][k % 5 + 1] AS tier, [NULL,'bench-ts-express',NULL,'bench-ts-express','bench-java-spring'][k % 5 + 1] AS fixture FROM pr""",
     ),
 }
+
+_FUSED = (
+    # name, what the single check says about scripts; Java files add their own findings below
+    "java_security", "controllers", "persistence", "file_naming", "long_files", "magic_numbers", "complexity",
+    "deprecated_apis", "deep_nesting",
+)
+
+
+def _as_part(name: str) -> str:
+    return f"SELECT repo, rule, domain, severity, confidence, file, line, snippet, places FROM ({ORACLE[name]})"
+
+
+# Java files in the scope of the rules that are not about Java. None of their names tells a role; of their
+# folders, "repository" is not among the conventional ones (its plural is).
+_JAVA_PARTS = [
+    hit("file-naming-convention", "conventions", 0.6, "'low'", f"(WITH {JL} SELECT DISTINCT repo, path FROM jl WHERE doc_id % 4 < 3)", line="NULL"),
+    hit(
+        "file-too-long", "conventions", 1.0, "CASE WHEN c > 60 THEN 'high' ELSE 'medium' END",
+        f"(WITH {JL} SELECT repo, path, count(*) AS c FROM jl GROUP BY ALL)", "c > 20", line="NULL",
+    ),
+    hit(
+        "deep-nesting", "tech-debt", 0.85, "CASE WHEN depth > 6 THEN 'high' ELSE 'medium' END",
+        f"""(WITH {JL}, ds AS (SELECT *, sum(CASE n WHEN 0 THEN 3 WHEN 4 THEN 1 WHEN 11 THEN 1 WHEN 6 THEN -1 WHEN 12 THEN -3 ELSE 0 END)
+              OVER (PARTITION BY path ORDER BY line_no) AS depth FROM jl)
+            SELECT * FROM ds WHERE n <> 3 QUALIFY row_number() OVER (PARTITION BY path ORDER BY depth DESC, line_no) = 1)""",
+        "depth > 4", snip=SNIP,
+    ),
+]
+ORACLE["file_rules"] = " UNION ALL ".join([*[_as_part(n) for n in _FUSED], *_JAVA_PARTS])

@@ -130,6 +130,11 @@ def persistence(spark, sf):
     return rows(RF.persistence(V.java_files(spark, sf)))
 
 
+def file_rules(spark, sf):
+    """All file rules in one pass over scripts and classes."""
+    return rows(RF.file_rules(V.code_files(spark, sf).unionByName(V.java_files(spark, sf)), SHORT))
+
+
 def a11y_pages(spark, sf):
     return rows(RF.accessibility(V.page_files(spark, sf)))
 
@@ -382,7 +387,7 @@ QUERIES = {
     for f in (
         numbered_lines, line_rules, line_rules_java, secrets_docs, secrets_settings, custom_patterns, todo_scan,
         runtime_calls, env_files, java_security, server_config, maven_manifest, controllers, file_naming, long_files,
-        many_parameters, magic_numbers, test_quality, complexity, deprecated_apis, deep_nesting, persistence, a11y_pages,
+        many_parameters, magic_numbers, test_quality, complexity, deprecated_apis, deep_nesting, persistence, file_rules, a11y_pages,
         function_spans, long_functions, class_spans, swallowed_exceptions, manifest_dependencies, dependency_rules,
         dep_prefixes, pom_facts, ignore_rules, profiles, readme_sections, migration_tools, observability, i18n_library,
         text_nodes, hardcoded_texts, hardcoded_colors, style_values, style_sprawl, inline_styles, magic_z_indexes,
