@@ -10,6 +10,7 @@ from lintlake.operators import diagnose as D
 from lintlake.operators import findings as FN
 from lintlake.operators import scoring as S
 from lintlake.policy import DEFAULT_POLICY, Policy
+from lintlake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,12 @@ def score_cleaned(raw: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def diagnose(raw: DataFrame, policy: Policy = DEFAULT_POLICY) -> Diagnosis:
-    """Hotspots, causes, clusters and their priorities, from the raw findings."""
-    hotspots = D.correlate(raw, policy)
+    """Hotspots, causes, clusters and their priorities, from the raw findings.
+
+    Clusters look at the hotspots along two keys. The hotspots are few next to the
+    findings, so they are written once instead of being computed for each.
+    """
+    hotspots = cut_lineage(D.correlate(raw, policy))
     inferred = D.infer_root_causes(hotspots, policy)
     clusters = D.root_cause_clusters(inferred, policy)
     return Diagnosis(hotspots, inferred, clusters, D.prioritize(clusters, policy))

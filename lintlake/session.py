@@ -18,6 +18,8 @@ def build_session(app: str = "lintlake", cpus: int | None = None) -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Rows with whole file contents are wide: smaller splits keep a task's batch in memory.
+        .config("spark.sql.files.maxPartitionBytes", "32m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LINTLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

@@ -59,16 +59,26 @@ EXCERPT = 80
 # ------------------------------------------------------------------------------------------
 
 
-def first_report(files: DataFrame, places: list[str], is_json: bool = True) -> DataFrame:
-    """One report per repository: the first of ``places`` that exists (and is JSON)."""
-    reports = files.where(c.path.isin(places))
-    if is_json:
-        reports = reports.where(F.try_parse_json("content").isNotNull())
+def first_of(reports: DataFrame, places: list[str]) -> DataFrame:
+    """Per repository, the row of the first of ``places`` that is left."""
     if len(places) == 1:
-        return reports.select("repo", "path", "content")
+        return reports
     order = lookup(c.path, {p: i for i, p in enumerate(places)})
-    picked = reports.groupBy("repo").agg(F.min_by(F.struct("path", "content"), order).alias("r"))
-    return picked.select("repo", "r.path", "r.content")
+    columns = [n for n in reports.columns if n != "repo"]
+    return reports.groupBy("repo").agg(F.min_by(F.struct(*columns), order).alias("r")).select("repo", "r.*")
+
+
+def json_report(files: DataFrame, places: list[str], ddl: str) -> DataFrame:
+    """``(repo, path, r)``: the first report of each repository that parses, parsed once."""
+    is_list = ddl.startswith("ARRAY")
+    parsed = F.from_json("content", ddl if is_list else f"{ddl}, _corrupt_record STRING")
+    reports = files.where(c.path.isin(places)).select("repo", "path", parsed.alias("r"))
+    valid = c.r.isNotNull() if is_list else c.r["_corrupt_record"].isNull()
+    return first_of(reports.where(valid), places)
+
+
+def text_report(files: DataFrame, places: list[str]) -> DataFrame:
+    return first_of(files.where(c.path.isin(places)).select("repo", "path", "content"), places)
 
 
 def below(path: Column, root: str | None) -> Column:
@@ -80,7 +90,7 @@ def below(path: Column, root: str | None) -> Column:
 
 
 def npm_audit(files: DataFrame) -> DataFrame:
-    r = first_report(files, NPM_AUDIT).select("repo", F.from_json("content", NPM_DDL)["vulnerabilities"].alias("v"))
+    r = json_report(files, NPM_AUDIT, NPM_DDL).select("repo", c.r["vulnerabilities"].alias("v"))
     rows = r.select("repo", F.explode("v").alias("package", "v"))
     severity = F.coalesce(lookup(c.v["severity"], NPM_SEVERITY), F.lit("medium"))
     return emit(
@@ -90,7 +100,7 @@ def npm_audit(files: DataFrame) -> DataFrame:
 
 
 def semgrep(files: DataFrame) -> DataFrame:
-    r = first_report(files, SEMGREP).select("repo", F.explode(F.from_json("content", SEMGREP_DDL)["results"]).alias("r"))
+    r = json_report(files, SEMGREP, SEMGREP_DDL).select("repo", F.explode(c.r["results"]).alias("r"))
     check = c.r["check_id"]
     return emit(
         r,
@@ -105,7 +115,7 @@ def semgrep(files: DataFrame) -> DataFrame:
 
 
 def eslint(files: DataFrame, root: str | None = None) -> DataFrame:
-    r = first_report(files, ESLINT).select("repo", F.explode(F.from_json("content", ESLINT_DDL)).alias("f"))
+    r = json_report(files, ESLINT, ESLINT_DDL).select("repo", F.explode("r").alias("f"))
     m = r.select("repo", c.f["filePath"].alias("file"), F.explode(c.f["messages"]).alias("m")).where(
         F.length(c.m["ruleId"]) > 0
     )
@@ -123,7 +133,7 @@ def eslint(files: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def checkstyle(files: DataFrame, root: str | None = None) -> DataFrame:
-    r = first_report(files, CHECKSTYLE, is_json=False).select(
+    r = text_report(files, CHECKSTYLE).select(
         "repo", F.explode(F.from_xml("content", CHECKSTYLE_DDL)["file"]).alias("f")
     )
     e = r.select("repo", c.f["_name"].alias("file"), F.explode(c.f["error"]).alias("e")).where(
@@ -149,7 +159,7 @@ def checkstyle(files: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def coverage(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    r = first_report(files, COVERAGE).select("repo", "path", F.from_json("content", COVERAGE_DDL)["total"].alias("t"))
+    r = json_report(files, COVERAGE, COVERAGE_DDL).select("repo", "path", c.r["total"].alias("t"))
 
     def metric(name: str) -> Column:
         actual, target = c.t[name]["pct"], F.lit(float(policy.coverage_targets[name]))
@@ -183,7 +193,7 @@ def junit_failures(files: DataFrame) -> DataFrame:
             F.lit(False),
         )
 
-    r = first_report(files, JUNIT, is_json=False).select("repo", "path", x.alias("x"))
+    r = text_report(files, JUNIT).select("repo", "path", x.alias("x"))
     t = r.select("repo", "path", F.explode(cases).alias("t")).where(has(c.t["failure"]) | has(c.t["error"]))
     return emit(
         t,
@@ -199,7 +209,9 @@ def playwright_tests(files: DataFrame) -> DataFrame:
     One step per nesting level: the suites of a level give their tests and the next
     level. The number of steps is the depth of the deepest report.
     """
-    reports = first_report(files, PLAYWRIGHT).select("repo", "path", F.parse_json("content").alias("v"))
+    parsed = files.where(c.path.isin(PLAYWRIGHT)).select("repo", "path", "content")
+    parsed = parsed.where(F.try_parse_json("content").isNotNull())
+    reports = first_of(parsed, PLAYWRIGHT).select("repo", "path", F.parse_json("content").alias("v"))
 
     def children(v: Column, key: str) -> Column:
         return F.explode(F.try_variant_get(v, f"$.{key}", "array<variant>"))
@@ -246,7 +258,7 @@ def playwright_failures(tests: DataFrame) -> DataFrame:
 
 
 def flaky_junit(files: DataFrame) -> DataFrame:
-    r = first_report(files, JUNIT, is_json=False).select("repo", "path", F.explode(found(c.content, JUNIT_RERUN, 1)).alias("name"))
+    r = text_report(files, JUNIT).select("repo", "path", F.explode(found(c.content, JUNIT_RERUN, 1)).alias("name"))
     return emit(r, finding("flaky-test", "medium", text("Flaky test: ", c.name), one(c.path)))
 
 
@@ -266,7 +278,7 @@ def flaky_playwright(tests: DataFrame) -> DataFrame:
 
 
 def bundle_stats(files: DataFrame) -> DataFrame:
-    r = first_report(files, BUNDLE).select("repo", "path", F.explode(F.from_json("content", BUNDLE_DDL)["assets"]).alias("a"))
+    r = json_report(files, BUNDLE, BUNDLE_DDL).select("repo", "path", F.explode(c.r["assets"]).alias("a"))
     size, name = c.a["size"], c.a["name"]
     return emit(
         r.where((F.length(name) > 0) & (size > LARGE_ASSET)),
@@ -279,11 +291,11 @@ def bundle_stats(files: DataFrame) -> DataFrame:
 
 
 def repos_with_bundle_stats(files: DataFrame) -> DataFrame:
-    return first_report(files, BUNDLE).select("repo")
+    return json_report(files, BUNDLE, BUNDLE_DDL).select("repo").distinct()
 
 
 def build_metrics(files: DataFrame, places=tuple(BUILD_METRICS)) -> DataFrame:
-    r = first_report(files, list(places)).select("repo", "path", F.from_json("content", BUILD_DDL).alias("b")).select("repo", "path", "b.*")
+    r = json_report(files, list(places), BUILD_DDL).select("repo", "path", "r.*")
     average, tail = F.coalesce("average_build_ms", F.lit(0.0)), F.coalesce("p95_build_ms", F.lit(0.0))
 
     def seconds(ms: Column) -> Column:

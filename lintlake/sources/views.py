@@ -34,9 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    A small table is one row group, which one task would read and transform alone. A
+    large scan has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events_as_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finding per event; every thirteenth also names a vendored second place."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     n = F.col("event_id")
     domain = F.element_at(
         F.array(*[F.lit(d) for d in DOMAINS]),
@@ -101,7 +111,7 @@ def _chosen(templates: list[Column], index: Column) -> Column:
 
 
 def _files_from_documents(spark, sf_dir, repo: Column, path: Column, ext: str, templates) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     doc = F.col("doc_id")
     lines = F.transform(
         F.split("text", "\n"),
@@ -206,7 +216,7 @@ def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages with a few seeded defects: no lang, no alt, empty buttons, bare inputs."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     n = F.col("page_id")
     without_lang = F.when(n % 5 == 0, F.regexp_replace("html", '<html lang="[a-z]*">', "<html>")).otherwise(F.col("html"))
     seed = _chosen(
@@ -275,7 +285,7 @@ def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents themselves, as text files of their source."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("repo"),
         F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.lit(".md").alias("ext"),

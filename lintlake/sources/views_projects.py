@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.scalars import extname
-from lintlake.sources.views import table
+from lintlake.sources.views import spread, table
 
 # ``k`` is the order key. Each entry: path and content as expressions over it.
 PROJECT_FILES = {
@@ -134,7 +134,7 @@ PROJECT_FILES = {
 
 def project_files(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """The given files of every order's repository, as ``(repo, path, ext, content)``."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    orders = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice"))
     out = None
     for kind in kinds:
         path, content = PROJECT_FILES[kind]
