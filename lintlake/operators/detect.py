@@ -106,15 +106,21 @@ def let(value: Column, body) -> Column:
 
 @dataclass(frozen=True)
 class FileRules:
-    """Rules that share a scope: ``hits`` are single structs, ``each`` arrays of structs."""
+    """Rules that share a scope: ``hits`` are single structs, ``each`` arrays of structs.
+
+    ``on`` looks at path and extension only and so reaches the scan; ``when`` may look
+    at the text.
+    """
 
     on: Column
     hits: tuple = ()
     each: tuple = ()
+    when: Column | None = None
 
     def found(self) -> Column:
         parts = ([F.array_compact(F.array(*self.hits))] if self.hits else []) + list(self.each)
-        return F.when(self.on, F.flatten(F.array_compact(F.array(*parts))))
+        cond = self.on if self.when is None else self.on & self.when
+        return F.when(cond, F.flatten(F.array_compact(F.array(*parts))))
 
 
 def detect_in_files(files: DataFrame, parts: list[FileRules]) -> DataFrame:
