@@ -96,12 +96,17 @@ def code_blocks(files: DataFrame) -> DataFrame:
     sig = F.filter(F.transform(lines_of(c.content), trimmed), significant)
     f = scope(files, SOURCE_EXTS, skip_tests=True).select("repo", "path", sig.alias("sig"))
     f = f.where(F.size("sig") >= BLOCK_LINES)
-    starts = F.posexplode(F.sequence(F.lit(1), F.size("sig") - (BLOCK_LINES - 1)))
-    runs = f.select("repo", "path", "sig", starts.alias("_i", "pos"))
-    block = F.array_join(F.slice("sig", c.pos, BLOCK_LINES), "\n")
-    return runs.select("repo", "path", "pos", block.alias("text")).where(F.length("text") >= MIN_BLOCK_CHARS).select(
-        "repo", "path", "pos", F.md5("text").alias("block")
-    )
+
+    # Digests are made inside the row: exploding starts would copy the lines for each of them.
+    def block(i: Column) -> Column:
+        body = F.array_join(F.slice("sig", i, BLOCK_LINES), "\n")
+        return F.when(
+            F.length(body) >= MIN_BLOCK_CHARS, F.struct(i.cast("int").alias("pos"), F.md5(body).alias("block"))
+        )
+
+    starts = F.sequence(F.lit(1), F.size("sig") - (BLOCK_LINES - 1))
+    found_blocks = F.array_compact(F.transform(starts, block))
+    return f.select("repo", "path", F.explode(found_blocks).alias("b")).select("repo", "path", "b.pos", "b.block")
 
 
 def dry_violations(files: DataFrame) -> DataFrame:
