@@ -333,7 +333,7 @@ def styled_files(files: DataFrame, exts) -> DataFrame:
 
 def hardcoded_colors(files: DataFrame) -> DataFrame:
     """Color literals outside token definitions, per repository."""
-    free = F.filter(numbered(lines_of(c.content)), lambda l: ~l["text"].rlike(TOKEN_DEFINITION_LINE) & F.contains(l["text"], F.lit("#")))
+    free = F.filter(numbered(c.lines), lambda l: ~l["text"].rlike(TOKEN_DEFINITION_LINE) & F.contains(l["text"], F.lit("#")))
     hexes = F.flatten(
         F.transform(
             free,
@@ -345,13 +345,13 @@ def hardcoded_colors(files: DataFrame) -> DataFrame:
     )
     uses = count_of(c.content, VAR_USE) + count_of(c.content, SCSS_VAR)
     literal_style = uses < count_of(c.content, VAR_DEFINITION) + VAR_MARGIN
-    all_lines = lines_of(c.content)
     functional = F.filter(
         matches_with_lines(c.content, FUNCTION_COLOR),
-        lambda m: ~F.element_at(all_lines, m["line"]).rlike(TOKEN_DEFINITION_LINE),
+        lambda m: ~F.element_at(c.lines, m["line"]).rlike(TOKEN_DEFINITION_LINE),
     )
     hits = F.concat(hexes, F.when(literal_style, functional).otherwise(F.slice(functional, 1, 0)))
-    per_file = styled_files(files, [*STYLE_EXTS, *TEXT_TEMPLATE_EXTS]).select("repo", "path", hits.alias("hits"))
+    lined = styled_files(files, [*STYLE_EXTS, *TEXT_TEMPLATE_EXTS]).withColumn("lines", lines_of(c.content))
+    per_file = lined.select("repo", "path", hits.alias("hits"))
     per_file = per_file.select("repo", "path", F.size("hits").alias("n"), sample_array(c.hits).alias("samples"))
     return emit(
         repo_samples(per_file).where(c.n >= MIN_COLORS),
