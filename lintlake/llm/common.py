@@ -15,6 +15,12 @@ from lintlake.session import ensure_checkpoint_dir
 NO_ID = -(2**63)
 
 
+def key_columns(docs: DataFrame) -> dict[str, Column]:
+    """Expressions of ``id``, ``tk`` and ``text`` as in :func:`keyed`."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return {"id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "tk": F.xxhash64(text), "text": text}
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``(id, tk, text)``: the place of a document in the order, and its text without nulls.
 
@@ -22,10 +28,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     and rows that repeat both count as one document. Other columns are left behind, whatever
     their names are.
     """
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text")
-    )
+    return docs.select(*[c.alias(name) for name, c in key_columns(docs).items()])
 
 
 def doc_id_of(id_: Column) -> Column:

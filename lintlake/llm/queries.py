@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lintlake.llm import superkmers
+from lintlake.llm import fm_index, induced_dedup, superkmers, tensor_minhash
 
 QUERIES = {
+    "op2_fm_decontamination": fm_index.query,
+    "op3_induced_suffix_dedup": induced_dedup.query,
     "op5_superkmer_dedup": superkmers.query,
+    "op7_tensor_minhash": tensor_minhash.query,
 }
 ORACLE: dict[str, str] = {}
