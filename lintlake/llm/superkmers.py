@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import doc_id_of, keyed, packed, partitions_of, unpacked
+from lintlake.llm.packets import meet
 from lintlake.llm.text_arrays import (
-    BASE_2, NOT_SPACE, Sums, chunks, lists_of, ngrams, ranges, sliding_min, split, texts_of, values,
+    BASE, BASE_2, NOT_SPACE, Sums, chunks, ngrams, ranges, sliding_min, split, texts_of, values, word_hashes,
 )
 
 WINDOW, SEED = 20, 3
@@ -185,7 +186,7 @@ def later_windows(metas, bodies: list[bytes], window: int):
     order = order[~same]  # one place that two tasks sent, because its row is repeated
     id_, tk, at, count, base = (x[order] for x in (id_, tk, at, count, base))
     index = ranges(base, count)
-    digests = [ngrams(Sums(data, b).hash(starts, ends), window, b)[index] for b in (0x9E3779B97F4A7C15, BASE_2)]
+    digests = [ngrams(word_hashes(data, starts, ends, b), window, b)[index] for b in (BASE, BASE_2)]
     by = np.lexsort(digests[::-1])
     again = np.zeros(len(by), bool)
     again[1:] = (digests[0][by][1:] == digests[0][by][:-1]) & (digests[1][by][1:] == digests[1][by][:-1])
@@ -236,37 +237,31 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     return met.mapInArrow(_sort(window), "id long, tk long, lo int, hi int")
 
 
-def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        flat, starts, ends, first = normal_words(*texts_of(batch.column("text")))
-        lo, at = lists_of(batch.column("lo"))
-        hi, _ = lists_of(batch.column("hi"))
-        base = np.repeat(first[:-1], np.diff(at))
-        edge = np.bincount(base + lo, minlength=len(starts) + 1) - np.bincount(base + hi, minlength=len(starts) + 1)
-        gone = np.cumsum(edge)[: len(starts)] > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
-        texts, body = [], flat.tobytes()
-        for i in range(batch.num_rows):
-            a, b = first[i], first[i + 1]
-            if a == b:
-                texts.append("")
-            elif total[b] == total[a]:
-                texts.append(body[starts[a] : ends[b - 1]].decode())
-            else:
-                stay = np.flatnonzero(~gone[a:b]) + a
-                texts.append(b" ".join([body[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]).decode())
-        yield pa.record_batch(
-            [batch.column("id"), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(texts, pa.string())],
-            ["id", "n_words", "n_removed", "kept"],
-        )
+def _kept(id_, tk, data, offsets, found, cuts) -> Iterator[pa.RecordBatch]:
+    flat, starts, ends, first = normal_words(data, offsets)
+    edge = np.zeros(len(starts) + 1, np.int64)
+    if found is not None:
+        base = np.repeat(first[:-1], np.diff(cuts))
+        np.add.at(edge, base + found[0], 1)
+        np.add.at(edge, base + found[1], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(gone)])
+    texts, body = [], flat.tobytes()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if a == b:
+            texts.append("")
+        elif total[b] == total[a]:
+            texts.append(body[starts[a] : ends[b - 1]].decode())
+        else:
+            stay = np.flatnonzero(~gone[a:b]) + a
+            texts.append(b" ".join([body[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]).decode())
+    yield pa.record_batch([pa.array(id_), pa.array(np.diff(first)), pa.array(np.diff(total[first])), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``: each document without the words of windows seen earlier."""
     rows = keyed(docs)
-    gone = repeated_ranges(rows, window, seed).groupBy("id", "tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    joined = rows.join(gone, ["id", "tk"], "left")
-    kept = joined.select("id", "text", "lo", "hi").mapInArrow(_kept, "id long, n_words long, n_removed long, kept string")
+    kept = meet(rows, repeated_ranges(rows, window, seed), _kept, "id long, n_words long, n_removed long, kept string")
     return kept.select(doc_id_of(F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 

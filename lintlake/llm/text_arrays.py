@@ -64,6 +64,18 @@ class Sums:
         return mix((self.total[hi] - self.total[lo]) * self.inverse[lo])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Hashes of the words of a long buffer, some of it at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        out[i:j] = Sums(data[lo:hi], base).hash(starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
 def ngrams(h: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
     """Hashes of all ``n`` consecutive values."""
     if len(h) < n:
