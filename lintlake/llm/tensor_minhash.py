@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = written(rows.mapInArrow(_sketch, SKETCH))
     equal = ["d1", "d2", "n"]
     classes = sketch.groupBy(*equal).agg(F.min("id").alias("node"))
-    members = written(sketch.select("id", "tk", *equal).join(classes, equal).select("id", "tk", F.col("n").alias("n_shingles"), "node"))
+    node = F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("id")).alias("node")  # empty sets aren't equal to one another
+    members = written(sketch.select("id", "tk", *equal).join(classes, equal).select("id", "tk", F.col("n").alias("n_shingles"), node))
     twice = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b")  # one doc_id, several sets
 
     first = sketch.where("n > 0").join(classes, equal).where("id = node").select("node", "n", "low", "halves")
