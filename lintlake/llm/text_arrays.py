@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 _bytes = np.arange(256)
