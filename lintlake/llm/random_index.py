@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # at most fit_rows pairs of numbers, so broadcast
     rows = docs.select(key["id"].alias("id"), key["text"].alias("text")).join(F.broadcast(sample), "id")
     found = rows.mapInArrow(_features(vectors), "id long, label int, x binary").orderBy("id", "x").limit(2 * fit_rows).collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(len(found), DIMS + 8)
     y = np.array([r.label for r in found], np.float64)
     left_out = np.array([zlib.crc32(f"t{r.id}".encode()) % 5 == 0 for r in found], bool)
     return Model(vectors, fit(x, y, left_out))
