@@ -46,16 +46,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sliced(df: DataFrame, key: str, slices: int | None = None) -> DataFrame:
-    """Add ``slice``, which rises with ``key``, and put each slice into a partition of its own.
-
-    The split points are quantiles, of which there are as many as slices; only they reach the driver.
-    """
-    n = slices or partitions_of(df.sparkSession)
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.array_size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    return df.withColumn("slice", at.cast("int")).repartitionById(n, "slice")
+def slices_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are below ``key``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    points = F.lit(cuts).cast("array<bigint>")
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(cuts).bit_length())),
+        F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s)
+        .when(F.get(points, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < key, F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))),
+    )
+    return found["lo"]
+
+
+def materialised(df: DataFrame, *new: Column) -> DataFrame:
+    """``df`` with new columns that are computed once per row: the optimiser doesn't repeat them where they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*new))))
 
 
 def packed(value) -> bytes:
@@ -65,3 +73,14 @@ def packed(value) -> bytes:
 
 def unpacked(data: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
+#: A table is broadcast below this size, which is measured first; above it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def joined_by_key(rows: DataFrame, small: DataFrame, bytes_of: Column, how: str = "inner") -> DataFrame:
+    """Join on ``id, tk``. ``small`` is written and measured (``bytes_of`` gives the bytes of a row)."""
+    small = written(small)
+    size = small.agg(F.sum(bytes_of.cast("long"))).first()[0] or 0
+    return rows.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, ["id", "tk"], how)

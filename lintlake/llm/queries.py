@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from lintlake.llm import fm_index, induced_dedup, superkmers, tensor_minhash
+from lintlake.llm import (
+    bloom_sketch, fm_index, induced_dedup, line_dedup, pfor, pseudonyms, random_index, superkmers, tensor_minhash, vector_packing,
+)
 
 QUERIES = {
+    "op1_pfor_tokens": pfor.query,
     "op2_fm_decontamination": fm_index.query,
     "op3_induced_suffix_dedup": induced_dedup.query,
+    "op4_vector_packing": vector_packing.query,
     "op5_superkmer_dedup": superkmers.query,
+    "op6_deletion_line_dedup": line_dedup.query,
     "op7_tensor_minhash": tensor_minhash.query,
+    "op8_bloom_fingerprints": bloom_sketch.query,
+    "op9_feistel_pseudonyms": pseudonyms.query,
+    "op10_quality_network": random_index.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op6_deletion_line_dedup": line_dedup.SQL}
