@@ -201,7 +201,11 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, undo: bool = False) -> Data
     return rows.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns], KIND)
 
 
+def _is(kind: str):
+    return lambda x: x == kind
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document with its pseudonyms, and how many values of each kind were replaced."""
     out = with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", *[F.size(F.filter(KIND, lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS], "text")
+    return out.select("doc_id", *[F.size(F.filter(KIND, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS], "text")
