@@ -10,14 +10,14 @@ the pairs of a group:
 
 1. each half key knows its least node. A node shares a table with the nodes that are least for one of its
    keys in both collections; these stars are verified and joined to components.
-2. table keys are formed for the half keys whose nodes lie in several components, and a table group stays
-   as long as its nodes do. Round t takes the next ``2 ** t`` nodes of each group and verifies them with
-   the later nodes of the group in other components; then components are joined again. A node that has
-   met all others leaves. So every pair of a table is either verified or already in one component.
+2. groups of a left key stay as long as their nodes lie in several components. A round takes the next nodes
+   of each group (4, then 64, then 1024, ...) and joins them with its later nodes in other components that share
+   a table, that is a right key as well; then components are joined again, and nodes that have met all others
+   leave. A pair is made once, by its first common left key. So every pair of a table is either verified or already
+   in one component.
 
-Pairs whose 64 low bytes of minhashes agree too seldom (30 of 64; 48 are expected at 0.75, five
-deviations away) or whose sizes rule a link out are dropped before sets are compared. Links are confirmed
-on full sets of shingles.
+The join makes no pair whose 128 low bytes of minhashes agree too seldom (72 of 128; 96 are expected at 0.75,
+five deviations away) or whose sizes rule a link out. Links are confirmed on full sets of shingles.
 
 Defined results: a document without words, or null, has the empty set and is linked with nothing. With
 fewer than five words the whole sequence is the only shingle. Rows that share a doc_id are one document,
@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import doc_id_of, key_columns, keyed, written
@@ -40,8 +40,9 @@ from lintlake.llm.text_arrays import LOWER, NOT_SPACE, Sums, chunks, mix, ngrams
 
 WORDS, PERCENT = 5, 75
 HALVES, ROWS = 16, 2
-LEAST_AGREEING = 30
-_seed = np.arange(1, 2 * 2 * HALVES * ROWS + 1, dtype=np.uint64)
+SIGNED, LEAST_AGREEING = 128, 72
+FIRST_TAKE, FASTER = 4, 16
+_seed = np.arange(1, 2 * SIGNED + 1, dtype=np.uint64)
 FACTORS = mix(_seed * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -74,26 +75,29 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.num_rows
         digest = np.zeros((2, rows), np.uint64)
         halves = np.zeros((rows, 2 * HALVES), np.int64)
-        low = np.zeros((rows, 2 * HALVES * ROWS), np.uint8)
+        low = np.zeros((rows, SIGNED), np.uint8)
+
         if len(full):
             for k, c in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
                 digest[k, full] = np.add.reduceat(mix(shingles ^ np.uint64(c)), at)
-            for h in range(2 * HALVES):
-                key = np.full(len(full), h + 1, np.uint64)
-                for r in range(h * ROWS, (h + 1) * ROWS):
-                    least = np.minimum.reduceat((shingles ^ FACTORS[-1 - r]) * FACTORS[r] >> np.uint64(24), at)
-                    low[full, r] = (mix(least) & np.uint64(0xFF)).astype(np.uint8)
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-                halves[full, h] = key.view(np.int64)
+            key = np.zeros(len(full), np.uint64)
+            for r in range(SIGNED):
+                least = np.minimum.reduceat((shingles ^ FACTORS[-1 - r]) * FACTORS[r] >> np.uint64(24), at)
+                low[full, r] = (mix(least) & np.uint64(0xFF)).astype(np.uint8)
+                if r < 2 * HALVES * ROWS:
+                    h = r // ROWS
+                    key = mix((key if r % ROWS else np.full(len(full), h + 1, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + least)
+                    halves[full, h] = key.view(np.int64)
         sizes = pa.array(np.arange(rows + 1) * 2 * HALVES, pa.int32())
+        words = pa.array(np.arange(rows + 1) * (SIGNED // 8), pa.int32())
         yield pa.record_batch(
             [batch.column("id"), batch.column("tk"), pa.array(np.diff(first), pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-             pa.ListArray.from_arrays(sizes, pa.array(halves.ravel())), pa.array([x.tobytes() for x in low], pa.binary())],
+             pa.ListArray.from_arrays(sizes, pa.array(halves.ravel())), pa.ListArray.from_arrays(words, pa.array(low.view(np.int64).ravel()))],
             ["id", "tk", "n", "d1", "d2", "halves", "low"],
         )
 
 
-SKETCH = "id long, tk long, n long, d1 long, d2 long, halves array<long>, low binary"
+SKETCH = "id long, tk long, n long, d1 long, d2 long, halves array<long>, low array<long>"
 
 
 def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +108,6 @@ def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), pa.array([body[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["node", "body"])
 
 
-def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, m = values(batch, "n_a"), values(batch, "n_b")
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("low_a", "low_b"))
-        fits = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((a == b).sum(1) >= LEAST_AGREEING)
-        yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fits))
-
-
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yes = []
@@ -122,15 +118,26 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
+def may_link(n_a: Column, low_a: Column, n_b: Column, low_b: Column) -> Column:
+    """Whether sizes and minhash bytes leave a link possible; bytes that differ are counted word by word."""
+    differ = F.lit(0)
+    for i in range(SIGNED // 8):
+        x = F.get(low_a, i).bitwiseXOR(F.get(low_b, i))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    fits = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    return fits & (differ <= SIGNED - LEAST_AGREEING)
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bodies: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough."""
-    near = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_agree, "a long, b long")
-    near = written(near)
-    return written(near.join(_side(bodies, "b"), "b").join(_side(bodies, "a"), "a").mapInArrow(_linked, "a long, b long"))
+    pairs = written(pairs)
+    return written(pairs.join(_side(bodies, "b"), "b").join(_side(bodies, "a"), "a").mapInArrow(_linked, "a long, b long"))
 
 
 def _halves_of(own: DataFrame, value: str) -> DataFrame:
@@ -159,33 +166,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bodies = written(rows.join(candidates, rows["id"] == candidates["node"], "left_semi").select("id", "text").mapInArrow(_bodies, "node long, body binary"))
 
     star = _halves_of(own, "m").select(F.explode(F.array_intersect("left", "right")).alias("a"), F.col("node").alias("b")).where("a != b")
-    edges = _verified(star, sets, bodies).unionByName(twice)
+    possible = may_link(F.col("n_a"), F.col("low_a"), F.col("n_b"), F.col("low_b"))
+    star = star.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a").where(possible).select("a", "b")
+    edges = _verified(star, bodies).unionByName(twice)
     comp = written(components(edges))
 
     def with_comp(df):
         return df.join(comp.select("node", F.col("comp").alias("_c")), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
 
-    def mixed(df, key):
-        several = df.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(key)
-        return df.join(several, key, "left_semi")
+    def mixed(df):
+        several = df.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
+        return df.join(several, "h", "left_semi")
 
-    keys = _halves_of(mixed(with_comp(own), "h"), "h").where("size(left) > 0 and size(right) > 0")
-    pairs_of_halves = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
-    group = written(mixed(with_comp(keys.select("node", F.explode(pairs_of_halves).alias("key"))), "key").select("key", "node"))
-    take = 1
+    group = written(mixed(with_comp(own)).select("node", "h", "side"))
+    keys = written(_halves_of(group, "h").where("size(left) > 0 and size(right) > 0").join(sets, "node"))
+    group = group.where("side = 0").join(keys.select("node"), "node", "left_semi").select("h", "node")
+    take = FIRST_TAKE
     while True:
-        active = written(mixed(with_comp(group), "key"))
+        active = written(mixed(with_comp(group)))
         if active.isEmpty():
             break
-        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = written(active.withColumn("at", order).where(F.col("at") <= take).drop("at"))
-        met = pivots.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(active.withColumnRenamed("node", "b"), "key")
-        links = _verified(met.where("a < b and comp_a != comp").select("a", "b").distinct(), sets, bodies)
+        order = F.row_number().over(Window.partitionBy("h").orderBy("node"))
+        pivots = written(active.withColumn("at", order).where(F.col("at") <= take).select("h", "node"))
+        full = active.join(keys, "node")
+        firsts = full.join(pivots, ["h", "node"], "left_semi")
+        one = firsts.select("h", *[F.col(c).alias("a" if c == "node" else f"{c}_a") for c in firsts.columns if c != "h"])
+        two = full.select(F.col("h").alias("h_b"), *[F.col(c).alias("b" if c == "node" else f"{c}_b") for c in full.columns if c != "h"])
+        met = one.join(
+            two,
+            (F.col("h") == F.col("h_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & possible
+            & F.arrays_overlap("right_a", "right_b") & (F.get(F.array_sort(F.array_intersect("left_a", "left_b")), 0) == F.col("h")),
+        )
+        links = _verified(met.select("a", "b"), bodies)
         if not links.isEmpty():
             old = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
             comp = written(components(old.unionByName(links)))
-        group = active.select("key", "node").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
-        take *= 2
+        group = active.select("h", "node").join(pivots, ["h", "node"], "left_anti")
+        take *= FASTER
     return with_comp(members).select("id", "tk", "n_shingles", F.col("comp").alias("component"))
 
 
