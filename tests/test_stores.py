@@ -5,6 +5,7 @@ import json
 import pytest
 
 from lintlake.operators import report
+from lintlake.operators.cross import missing_tests
 from lintlake.operators.findings import validate_findings
 from lintlake.policy import DEFAULT_POLICY, load_policy, policy_from_dict
 from lintlake.schema import ACTIVITY, FINDINGS
@@ -83,6 +84,21 @@ def test_reading_folders(spark, tmp_path):
     assert SF.read_all_files(spark, str(tmp_path)).count() == 3
 
 
+def test_folders_lose_no_name_and_report_bad_files(spark, tmp_path):
+    names = ["p/src/a.ts", "p/src/__tests__/a.test.ts", "p/styles/_vars.scss", "p/.env", "p/.hidden/b.ts", "p/node_modules/c.ts", "p/with space/ü.ts"]
+    for name in names:
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("const a = 1;")
+    (tmp_path / "p/logo.png").write_bytes(b"\x89PNG\xff\xfe\x00")
+    every = {r.path: r.error for r in SF.read_checked_files(spark, str(tmp_path), dot=True).collect()}
+    assert every == {n[2:]: None for n in names if "node_modules" not in n} | {"logo.png": "not UTF-8"}
+    plain = SF.read_all_files(spark, str(tmp_path))
+    assert sorted(r.path for r in plain.collect()) == ["src/__tests__/a.test.ts", "src/a.ts", "styles/_vars.scss", "with space/ü.ts"]
+    assert missing_tests(SF.read_files(spark, str(tmp_path))).where("title like '%src/a.ts%'").count() == 0
+    assert SF.list_files(spark, str(tmp_path), dot=True).where("path like '%node_modules%'").count() == 0
+
+
 def test_line_rules_on_a_stream(spark, tmp_path, files_of):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     files_of(("r", {"src/a.ts": "// FIXME now\nreadFileSync(x)"})).write.parquet(source)
