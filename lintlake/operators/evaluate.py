@@ -7,13 +7,12 @@ evidence)``. A run is one ``(fixture, tier, run)``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.scalars import TITLE_SIMILARITY, js_round, lookup, normalize_path, title_words
 from lintlake.operators.detect import c
-from lintlake.operators.positions import numbered_positions, positions_of_checked_size
+from lintlake.operators.positions import numbered_positions
 from lintlake.policy import SEVERITY_WEIGHTS
 from lintlake.session import cut_lineage
 
@@ -25,7 +24,6 @@ MIN_SYMPTOMS = 2
 GATES = {"precision": 0.6, "recall": 0.5, "variance": 0.15, "actionability": 3.0}
 NO_ROOT_CAUSE = "(no root cause)"
 DIGITS = 3
-SMALL_RUN = 500_000
 # ----------------------------------------------------------------------------------------
 
 RUN = ["fixture", "tier", "run"]
@@ -101,36 +99,8 @@ def _choices(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def _match_small_runs(rows: DataFrame, choices: DataFrame) -> DataFrame:
-    """Row by row in truth order, one task per run; for runs of a checked size."""
-
-    def pick(truth: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        ordered = lists.sort_values("ord", kind="stable").groupby(["level", "key"], sort=False)["id"].agg(list).to_dict()
-        at = dict.fromkeys(ordered, 0)
-        used, out = set(), []
-        for row in truth.sort_values("t_ord").itertuples():
-            for level, key in enumerate(row.keys, start=1):
-                ids = ordered.get((level, key), ())
-                n = at.get((level, key), 0)
-                while n < len(ids) and ids[n] in used:
-                    n += 1
-                at[(level, key)] = n
-                if n < len(ids):
-                    used.add(ids[n])
-                    out.append((row.fixture, row.tier, row.run, row.t_ord, ids[n], level))
-                    break
-        return pd.DataFrame(out, columns=[*RUN, "ord", "finding_id", "level"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*RUN).schema)
-    lists = choices.toDF(*[f"list_{n}" if n in RUN else n for n in choices.columns])
-    return (
-        rows.groupBy(*RUN).cogroup(lists.groupBy(*[f"list_{n}" for n in RUN]))
-        .applyInPandas(pick, f"{schema}, ord bigint, finding_id string, level int")
-    )
-
-
 def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
-    """The same matching for runs of any size, by joins and aggregations only.
+    """Row by row in truth order, as joins and aggregations over all runs at once.
 
     Every unmatched row proposes the best finding that has not refused it, and a finding
     keeps the earliest row that asks. The k-th of several rows with the same list can
@@ -146,8 +116,10 @@ def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
 
     active = with_key(rows.select("*", F.lit(1).alias("level"), F.lit(1).cast("bigint").alias("pos")))
     held, left = None, active.count()
+    if not left:
+        return rows.select(*RUN, F.col("t_ord").alias("ord"), F.lit(None).cast("string").alias("finding_id"), F.lit(None).cast("int").alias("level"))
     while left:
-        ranked = positions_of_checked_size(active, left, [*RUN, "level", "key"], ["t_ord"], "rank")
+        ranked = numbered_positions(active, [*RUN, "level", "key"], ["t_ord"], "rank")
         asked = ranked.withColumn("pos", F.greatest("pos", "rank")).drop("rank").join(
             lists, [*RUN, "level", "key", "pos"], "left"
         )
@@ -164,14 +136,10 @@ def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
     return held.select(*RUN, F.col("t_ord").alias("ord"), F.col("id").alias("finding_id"), "level")
 
 
-def match_findings(
-    truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, small_run: int = SMALL_RUN
-) -> DataFrame:
+def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Greedy one-to-one matching: truth rows take their best remaining finding in order.
 
-    The choices of all rows come from equi joins. Runs whose choices and rows were counted
-    to be at most ``small_run`` are walked in one task each; larger ones settle in
-    rounds of proposals, which have the same result.
+    The choices of all rows come from equi joins; the rows settle in rounds of proposals.
     """
     runs = runs_of(predictions) if runs is None else runs.select(*RUN).distinct()
     base = (
@@ -179,21 +147,12 @@ def match_findings(
         .join(runs, "fixture")
         .select(*RUN, F.col("ord").alias("t_ord"), "file", "line", "domain", "title")
     )
-    choices = cut_lineage(_choices(base, predictions))
     rows = base.select(
         *RUN,
         "t_ord",
         F.array(key_text(c.file, c.line), key_text(c.file, c.domain), key_text(c.domain, c.title)).alias("keys"),
     )
-    sizes = (
-        choices.select(*RUN).unionByName(rows.select(*RUN)).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
-    )
-    large = cut_lineage(sizes.where(c.n > small_run).select(*RUN))
-    matched = _match_small_runs(rows.join(large, RUN, "left_anti"), choices.join(large, RUN, "left_anti"))
-    if large.limit(1).count():
-        matched = matched.unionByName(
-            _match_by_proposals(rows.join(large, RUN, "left_semi"), choices.join(large, RUN, "left_semi"))
-        )
+    matched = _match_by_proposals(rows, _choices(base, predictions))
     return (
         truth.join(runs, "fixture")
         .join(matched, [*RUN, "ord"], "left")

@@ -34,22 +34,6 @@ def numbered_positions(
     )
 
 
-SMALL_ROWS = 1_000_000
-
-
-def positions_of_checked_size(
-    df: DataFrame, rows: int, keys: list[str], order: list[Column | str], name: str
-) -> DataFrame:
-    """Like :func:`numbered_positions` for a table whose size ``rows`` is known.
-
-    A group cannot be larger than the table, so a plain window is safe for a small one.
-    """
-    if rows > SMALL_ROWS:
-        return numbered_positions(df, keys, order, name)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-
-
 def first_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int, name: str = "_rank") -> DataFrame:
     """The first ``k`` rows of each group; Spark prunes to ``k`` before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -35,13 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
+    """Deal the rows of a scan to the number of partitions that the session asks for, if it does.
 
-    A small table is one row group, which one task would read and transform alone. A
-    large scan has splits enough and is left as it is.
+    Scans are split by ``spark.sql.files.maxPartitionBytes``, but not below a row group: a bench on tables
+    of one row group each sets ``lintlake.scan.partitions``. It says nothing about sizes, and is off by default.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("lintlake.scan.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def events_as_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
