@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lintlake.catalog import RULES
 from lintlake.functions.scalars import snippet as cut_snippet
 from lintlake.operators.positions import first_k
-from lintlake.session import cut_lineage
 
 # --- Fixed values: file scopes -------------------------------------------------
 SOURCE_EXTS = [".ts", ".js", ".java"]
@@ -153,11 +152,11 @@ def sample_array(hits: Column, k: int = SAMPLES) -> Column:
 def repo_samples(per_file: DataFrame, k: int = SAMPLES, with_snippet: bool = False) -> DataFrame:
     """Total and first places per repository, from rows ``(repo, path, n, samples)``.
 
-    The per-file rows come from reading file contents, so they are written out once
-    and both aggregations read the small table. A repository contributes at most ``k``
-    rows per partition to the samples, whatever its size.
+    The per-file rows come from reading file contents. They are small, so they are exchanged once and
+    both aggregations read that exchange; nothing runs before the result is asked for. A repository
+    contributes at most ``k`` rows per partition to the samples, whatever its size.
     """
-    hits = cut_lineage(per_file.where(F.col("n") > 0).select("repo", "path", "n", F.slice("samples", 1, k).alias("samples")))
+    hits = per_file.where(F.col("n") > 0).select("repo", "path", "n", F.slice("samples", 1, k).alias("samples")).repartition("repo", "path")
     totals = hits.groupBy("repo").agg(F.sum("n").alias("n"))
     firsts = first_k(hits, ["repo"], ["path"], k).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "path", "samples"))).alias("_files")

@@ -20,7 +20,7 @@ PATTERN_MIN_FINDINGS, PATTERN_MIN_FILES = 5, 2
 MANIFEST = r"(?i)(?:package\.json|pom\.xml|build\.gradle(?:\.kts)?|requirements\.txt|go\.mod|Cargo\.toml)$"
 FALLBACK_CATEGORY = "isolated"
 FALLBACK_CONFIDENCE = 0.6
-FALLBACK_RATIONALE = "No deterministic root-cause pattern matched this hotspot."
+FALLBACK_RATIONALE = "No known cause fits this group of findings."
 DEFAULT_PATTERN_CONFIDENCE, MAX_PATTERN_CONFIDENCE = 0.8, 0.95
 EFFORT_UP_TO = {3: "trivial", 8: "small", 15: "medium", 30: "large"}
 LARGEST_EFFORT = "epic"
@@ -52,13 +52,17 @@ def memberships() -> Column:
     )
 
 
-def _rule_bits(policy: Policy) -> Column:
-    """Bit p is set when the finding's rule is one of pattern p's rules."""
-    bits = F.lit(0).cast("bigint")
+WORD_BITS = 62
+
+
+def _rule_bits(policy: Policy) -> list[Column]:
+    """Bit p of the words is set when the finding's rule is one of pattern p's rules; as many words as patterns need."""
+    words = [F.lit(0).cast("bigint") for _ in range(0, max(1, len(policy.patterns)), WORD_BITS)]
     for i, p in enumerate(policy.patterns):
         if p.any_rules:
-            bits = bits + F.when(F.col("rule").isin(list(p.any_rules)), F.lit(1 << i)).otherwise(F.lit(0))
-    return bits
+            bit = F.when(F.col("rule").isin(list(p.any_rules)), F.lit(1 << i % WORD_BITS)).otherwise(F.lit(0))
+            words[i // WORD_BITS] = words[i // WORD_BITS] + bit
+    return [w.alias(f"_bits{k}") for k, w in enumerate(words)]
 
 
 def hotspot_stats(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -69,6 +73,8 @@ def hotspot_stats(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
     small before it is brought together. File counts are only compared with two, so
     the least and greatest file are enough.
     """
+    bits = _rule_bits(policy)
+    words = [f"_bits{k}" for k in range(len(bits))]
     exploded = findings.select(
         "repo",
         F.explode(memberships()).alias("_m"),
@@ -77,8 +83,8 @@ def hotspot_stats(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
         primary_file("").alias("_file"),
         severity_rank(F.col("severity")).alias("_sev"),
         penalty(policy).alias("_pen"),
-        _rule_bits(policy).alias("_bits"),
-    ).select("repo", "_m.type", "_m.key", "domain", "seq", "_file", "_sev", "_pen", "_bits")
+        *bits,
+    ).select("repo", "_m.type", "_m.key", "domain", "seq", "_file", "_sev", "_pen", *words)
     per_domain = exploded.groupBy(*HOTSPOT_KEY, "domain").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("seq").alias("_first"),
@@ -86,7 +92,7 @@ def hotspot_stats(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
         F.max("_file").alias("_hi"),
         F.max("_sev").alias("_sev"),
         F.sum("_pen").alias("_pen"),
-        F.bit_or("_bits").alias("_bits"),
+        *[F.bit_or(w).alias(w) for w in words],
     )
     return per_domain.groupBy(*HOTSPOT_KEY).agg(
         F.sum("_n").alias("finding_count"),
@@ -97,7 +103,7 @@ def hotspot_stats(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
         F.max("_sev").alias("sev_rank"),
         F.min("_first").alias("first_seq"),
         (F.min("_lo") != F.max("_hi")).alias("several_files"),
-        F.bit_or("_bits").alias("rule_bits"),
+        F.array(*[F.bit_or(w) for w in words]).alias("rule_bits"),
     )
 
 
@@ -115,11 +121,11 @@ def correlate(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
     label = (
         F.when(
             kind == "pattern",
-            F.concat(F.lit("Pattern hotspot: "), F.col("key"), F.lit(" ("), n.cast("string"), F.lit("×)")),
+            F.concat(F.lit("Repeated rule "), F.col("key"), F.lit(" ("), n.cast("string"), F.lit(" times)")),
         )
-        .when(kind == "module", F.concat(F.lit("Module hotspot: "), short))
-        .when(kind == "dependency", F.concat(F.lit("Dependency hotspot: "), short))
-        .otherwise(F.concat(F.lit("File hotspot: "), short))
+        .when(kind == "module", F.concat(F.lit("Crowded folder "), short))
+        .when(kind == "dependency", F.concat(F.lit("Crowded manifest "), short))
+        .otherwise(F.concat(F.lit("Crowded file "), short))
     )
     return kept.select(
         *HOTSPOT_KEY,
@@ -168,7 +174,7 @@ def _pattern_matches(p: RootCausePattern, index: int) -> Column:
     if p.any_domains:
         cond = cond & F.arrays_overlap("domains", F.array(*[F.lit(x) for x in p.any_domains]))
     if p.any_rules:
-        cond = cond & (F.col("rule_bits").bitwiseAND(F.lit(1 << index)) != 0)
+        cond = cond & (F.get("rule_bits", F.lit(index // WORD_BITS)).bitwiseAND(F.lit(1 << index % WORD_BITS)) != 0)
     return cond
 
 
@@ -188,7 +194,7 @@ def infer_root_causes(hotspots: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
         confidence = min(
             MAX_PATTERN_CONFIDENCE, DEFAULT_PATTERN_CONFIDENCE if p.confidence is None else p.confidence
         )
-        rationale = p.rationale or f"Pattern matched for category {p.category}."
+        rationale = p.rationale or f"Fits the pattern of {p.category}."
         cause = F.when(_pattern_matches(p, i), outcome(p.category, "tool", confidence, rationale)).otherwise(cause)
     return hotspots.withColumn("_cause", cause).select("*", "_cause.*").drop("_cause")
 
@@ -338,13 +344,13 @@ def remediation_plan(prioritized: DataFrame, overall: DataFrame) -> DataFrame:
     now, after = F.col("score_after_fix_now"), F.col("score_after_all")
     gain = js_round(now - F.col("current_score"), 1)
     quiet = F.concat(
-        F.lit("No critical issues detected (current score: "), number_text(F.col("current_score")),
-        F.lit("). Resolving all clusters would bring your score to "), number_text(after), F.lit("."),
+        F.lit("Nothing urgent; the score is "), number_text(F.col("current_score")),
+        F.lit("; with every cluster solved it would be "), number_text(after), F.lit("."),
     )
     urgent = F.concat(
         n.cast("string"), F.lit(" cluster"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")),
-        F.lit(" require immediate attention (Fix Now). Top issue: "), F.col("top_category"),
-        F.lit(". Resolving Fix Now clusters improves your score from "), number_text(F.col("current_score")),
+        F.lit(" to solve first, above all "), F.col("top_category"),
+        F.lit(". They lift the score from "), number_text(F.col("current_score")),
         F.lit(" to ~"), number_text(now), F.lit(" (+"), number_text(gain),
         F.lit(" pts). Fixing everything brings it to ~"), number_text(after), F.lit("."),
     )
