@@ -41,33 +41,53 @@ def hits_on_lines(lines: Column, condition) -> Column:
     return F.filter(numbered(lines), lambda s: condition(s["text"]))
 
 
+FOLD = 512
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(block: Column) -> Column:
+    """Running sums of a short array; appending copies it, so long ones go block by block."""
+    return F.aggregate(
+        block, F.array().cast("array<int>"), lambda a, x: F.array_append(a, (F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x).cast("int"))
+    )
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of numbers, in time that grows with its length."""
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: (s + x).cast("int")))
+        before = F.concat(F.array(F.lit(0)), _running(totals))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, o: F.transform(_running(b), lambda x: x + o)))
+
+    def of_values(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda k: F.slice(v, k * FOLD + 1, FOLD))
+        return F.when(F.size(v) > 0, _bound(cut, of_blocks)).otherwise(F.array().cast("array<int>"))
+
+    return _bound(values, of_values)
+
+
 def matches_with_lines(content: Column, pattern: str, limit: int | None = None) -> Column:
-    """Matches in text order as ``array<struct<text, line>>``; ``limit`` keeps the first ones."""
+    """Matches in text order as ``array<struct<text, line>>``; ``limit`` keeps the first ones.
+
+    The line of a match is one more than the newlines in all that stands before it: running sums over
+    what lies between the matches and the matches themselves.
+    """
     matches = found(content, pattern)
     if limit is not None:
         matches = F.slice(matches, 1, limit)
-    gaps = F.split(content, pattern, -1)
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.array().cast("array<struct<text:string,line:int>>").alias("out"),
-    )
 
-    def step(acc, pair):
-        here = acc["line"] + newlines(pair["gap"])
-        return F.struct(
-            (here + newlines(pair["text"])).cast("int").alias("line"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(pair["text"].alias("text"), here.cast("int").alias("line"))),
-            ).alias("out"),
-        )
-
-    pairs = F.zip_with(
-        matches,
-        F.slice(gaps, 1, F.size(matches)),
-        lambda m, g: F.struct(m.alias("text"), F.coalesce(g, F.lit("")).alias("gap")),
-    )
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(p: Column) -> Column:
+        gaps = F.slice(p["gaps"], 1, F.size(p["texts"]))
+        inside = F.concat(F.array(F.lit(0)), F.transform(p["texts"], newlines))
+        steps = F.zip_with(gaps, F.slice(inside, 1, F.size(p["texts"])), lambda g, n: F.coalesce(newlines(g), F.lit(0)) + n)
+        return F.zip_with(p["texts"], running_sums(steps), lambda t, n: F.struct(t.alias("text"), (n + 1).cast("int").alias("line")))
+
+    return _bound(F.struct(matches.alias("texts"), F.split(content, pattern, -1).alias("gaps")), placed)
 
 
 def first_match_line(content: Column, pattern: str) -> Column:

@@ -26,7 +26,6 @@ EXPORT_DECLARATION = (
 )
 EXPORT_LIST = r"export\s*\{([^}]+)\}"
 ENTRY_SYMBOLS = ["default", "main", "handler"]
-MAX_DEAD_EXPORTS = 20
 SCRIPT_EXTS = [".ts", ".js"]
 TOKEN_PIECE = 256
 
@@ -178,8 +177,8 @@ def vocabulary(files: DataFrame) -> DataFrame:
     )
 
 
-def dead_exports(files: DataFrame, mode: str = "substring") -> DataFrame:
-    """Exported names that occur in no other file, the first twenty of each repository.
+def dead_exports(files: DataFrame, mode: str = "substring", limit: int | None = None) -> DataFrame:
+    """Exported names that occur in no other file; with ``limit``, the first ones of each repository.
 
     A name occurs elsewhere unless the least and the greatest file that have it are both
     its own, so the text is reduced to a vocabulary with two paths per word on the map
@@ -228,9 +227,10 @@ def dead_exports(files: DataFrame, mode: str = "substring") -> DataFrame:
         unused = unused.join(inside, ["repo", "symbol"], "left").where(
             c.lo.isNull() | ((c.lo == c.path) & (c.hi == c.path))
         )
-    cut = first_k(unused.select("repo", "path", "pos", "symbol"), ["repo"], ["path", "pos"], MAX_DEAD_EXPORTS)
+    if limit is not None:
+        unused = first_k(unused.select("repo", "path", "pos", "symbol"), ["repo"], ["path", "pos"], limit)
     return emit(
-        cut,
+        unused,
         finding(
             "dead-export", "low", text('Unused export: "', c.symbol, '" in ', c.path),
             one(c.path, None, text("export … ", c.symbol)),

@@ -438,28 +438,20 @@ def inline_styles(files: DataFrame) -> DataFrame:
     )
 
 
-def magic_z_indexes(files: DataFrame) -> DataFrame:
-    """Large z-index values; the reported count is that of the samples, five at most."""
+def magic_z_indexes(files: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """Large z-index values: all are counted, the first ``samples`` are shown."""
     hits = F.filter(
         matches_with_lines(c.content, Z_INDEX),
         lambda m: F.regexp_extract(m["text"], Z_INDEX, 1).cast("double") > MAX_Z_INDEX,
     )
     per_file = (
         styled_files(files, STYLE_EXTS).where(F.contains(F.lower("content"), F.lit("z-index")))
-        .select("repo", "path", F.slice(hits, 1, SAMPLES).alias("hits"))
-        .where(F.size("hits") > 0)
-        .select("repo", "path", sample_array(c.hits).alias("samples"))
+        .select("repo", "path", hits.alias("hits"))
+        .select("repo", "path", F.size("hits").alias("n"), sample_array(c.hits, samples).alias("samples"))
     )
-    firsts = first_k(per_file, ["repo"], ["path"], SAMPLES).groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "path", "samples"))).alias("_files")
-    )
-    places = F.flatten(
-        F.transform("_files", lambda f: F.transform(f["samples"], lambda s: place(f["path"], s["line"], s["snippet"])))
-    )
-    cut = firsts.select("repo", F.slice(places, 1, SAMPLES).alias("evidence"))
     return emit(
-        cut,
-        finding("magic-zindex", "medium", text(F.size("evidence"), " large z-index values"), c.evidence),
+        repo_samples(per_file, samples, with_snippet=True),
+        finding("magic-zindex", "medium", text(c.n, " large z-index values"), c.evidence),
     )
 
 

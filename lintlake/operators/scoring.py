@@ -113,21 +113,21 @@ def summary_text(policy: Policy = DEFAULT_POLICY, with_sla: bool = True) -> Colu
         F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in SEVERITIES])
     )
     text = F.concat(
-        F.lit("Overall score: "),
+        F.lit("Score "),
         F.col("overall_score").cast("string"),
-        F.lit("/100 (Grade "),
+        F.lit(" of 100, grade "),
         F.col("grade"),
-        F.lit("). Findings: "),
+        F.lit("; found: "),
         F.when(F.size(counts) > 0, F.array_join(counts, ", ")).otherwise(F.lit("none")),
         F.lit("."),
         F.when(
             F.col("worst_score") < PRIORITY_AREA_BELOW,
             F.concat(
-                F.lit(" Priority area: "),
+                F.lit(" Weakest: "),
                 F.col("worst_domain"),
-                F.lit(" ("),
+                F.lit(" at "),
                 F.col("worst_score").cast("string"),
-                F.lit("/100)."),
+                F.lit("."),
             ),
         ).otherwise(F.lit("")),
     )
@@ -136,7 +136,7 @@ def summary_text(policy: Policy = DEFAULT_POLICY, with_sla: bool = True) -> Colu
     slas = F.array_compact(
         F.array(
             *[
-                F.when(F.col(s) > 0, F.lit(f"{s} ≤{policy.sla_days[s]}d"))
+                F.when(F.col(s) > 0, F.lit(f"{s} in {policy.sla_days[s]} days"))
                 for s in SLA_SEVERITIES
                 if policy.sla_days.get(s) is not None
             ]
@@ -144,7 +144,7 @@ def summary_text(policy: Policy = DEFAULT_POLICY, with_sla: bool = True) -> Colu
     )
     return F.concat(
         text,
-        F.when(F.size(slas) > 0, F.concat(F.lit(" Fix SLA: "), F.array_join(slas, ", "), F.lit("."))).otherwise(
+        F.when(F.size(slas) > 0, F.concat(F.lit(" Due: "), F.array_join(slas, ", "), F.lit("."))).otherwise(
             F.lit("")
         ),
     )

@@ -350,7 +350,7 @@ ORACLE = {
     "many_parameters": q(CL, hit("too-many-params", "conventions", 0.9, "'medium'", "cl", "n = 0", snip="'fn' || doc_id || '(a, b, c, d)'")),
     "magic_numbers": q(
         CL + ", mg AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM cl WHERE n = 13 OR (n = 9 AND doc_id % 97 + 3 NOT IN (1, 2, 100)))",
-        hit("magic-number", "conventions", 0.85, "'low'", "mg", "rn <= 5", snip=SNIP),
+        hit("magic-number", "conventions", 0.85, "'low'", "mg", snip=SNIP),
     ),
     "test_quality": q(
         ", ".join([TEST_PATHS, TQ]),
@@ -496,9 +496,9 @@ ORACLE = {
     ),
     "magic_z_indexes": titled(
         SL
-        + """, zi AS (SELECT repo, least(count(*), 5) AS n, min(struct_pack(path := path, line := line_no, z := doc_id % 300)) AS f FROM sl
+        + """, zi AS (SELECT repo, count(*) AS n, min(struct_pack(path := path, line := line_no, z := doc_id % 300)) AS f FROM sl
               WHERE n = 6 AND doc_id % 300 > 99 GROUP BY repo)""",
-        tsel("'magic-zindex'", "ux-consistency", 0.85, "'medium'", "n || ' large z-index values'", "zi", file="f.path", line="f.line", snip="'z-index: ' || f.z", places="n"),
+        tsel("'magic-zindex'", "ux-consistency", 0.85, "'medium'", "n || ' large z-index values'", "zi", file="f.path", line="f.line", snip="'z-index: ' || f.z", places="least(n, 5)"),
     ),
     "reduced_motion": q(
         SL, hit("missing-reduced-motion", "ux-consistency", 0.85, "'medium'", "(SELECT DISTINCT repo FROM sl WHERE n = 10)", line="NULL", file="'.'")
@@ -530,7 +530,7 @@ ORACLE = {
               de AS (SELECT c.*, 'fn' || c.doc_id AS symbol FROM cl c WHERE n = 0 AND NOT EXISTS
                  (SELECT 1 FROM us u WHERE u.repo = c.repo AND u.path <> c.path AND contains(u.w, 'fn' || c.doc_id)))
               , dr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS rn FROM de)""",
-        hit("dead-export", "tech-debt", 0.8, "'low'", "dr", "rn <= 20", line="NULL", snip="'export … ' || symbol"),
+        hit("dead-export", "tech-debt", 0.8, "'low'", "dr", line="NULL", snip="'export … ' || symbol"),
     ),
     "dead_exports_by_token": q(
         CL
@@ -538,7 +538,7 @@ ORACLE = {
               de AS (SELECT c.*, 'fn' || c.doc_id AS symbol FROM cl c WHERE n = 0 AND NOT EXISTS
                  (SELECT 1 FROM us u WHERE u.repo = c.repo AND u.path <> c.path AND u.w = 'fn' || c.doc_id))
               , dr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS rn FROM de)""",
-        hit("dead-export", "tech-debt", 0.8, "'low'", "dr", "rn <= 20", line="NULL", snip="'export … ' || symbol"),
+        hit("dead-export", "tech-debt", 0.8, "'low'", "dr", line="NULL", snip="'export … ' || symbol"),
     ),
     "stale_env_keys": q(
         project(", '.env.example' AS path"),

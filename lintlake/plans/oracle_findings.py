@@ -144,7 +144,7 @@ cause AS (SELECT *, CASE WHEN category = 'isolated' THEN 'llm' ELSE 'tool' END A
      WHEN 'god-module' THEN 'A single file accumulates too many findings across domains and should be split.'
      WHEN 'misaligned-architecture' THEN 'Architecture constraints are violated repeatedly across hotspots.'
      WHEN 'documentation-debt' THEN 'Documentation findings converge, indicating process debt around docs and ADRs.'
-     ELSE 'No deterministic root-cause pattern matched this hotspot.' END AS rationale FROM inf)
+     ELSE 'No known cause fits this group of findings.' END AS rationale FROM inf)
 """
 
 CLUSTERS = f"""
@@ -176,8 +176,8 @@ def num(col: str) -> str:
 
 def hint(domain: str) -> str:
     return (
-        f"CASE WHEN batch = 'fix_now' THEN 'None detected' WHEN {domain} = 'security' THEN 'After security hardening in Fix Now' "
-        "WHEN batch = 'backlog' THEN 'After Fix Now and Next Sprint' ELSE 'After Fix Now batch' END"
+        f"CASE WHEN batch = 'fix_now' THEN 'nothing' WHEN {domain} = 'security' THEN 'security work of the first batch' "
+        "WHEN batch = 'backlog' THEN 'the first two batches' ELSE 'the first batch' END"
     )
 
 
@@ -213,14 +213,14 @@ ms AS (SELECT os.repo, os.overall_score, os.grade, wd.worst_domain, wd.worst_sco
    coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(info, 0) AS info
    FROM os JOIN wd USING (repo) LEFT JOIN st USING (repo)),
 mt AS (SELECT *, critical + high + medium + low + info AS total_findings,
-   'Overall score: ' || overall_score || '/100 (Grade ' || grade || '). Findings: '
+   'Score ' || overall_score || ' of 100, grade ' || grade || '; found: '
    || CASE WHEN critical + high + medium + low + info = 0 THEN 'none' ELSE concat_ws(', ',
         CASE WHEN critical > 0 THEN critical || ' critical' END, CASE WHEN high > 0 THEN high || ' high' END,
         CASE WHEN medium > 0 THEN medium || ' medium' END, CASE WHEN low > 0 THEN low || ' low' END,
         CASE WHEN info > 0 THEN info || ' info' END) END || '.'
-   || CASE WHEN worst_score < 70 THEN ' Priority area: ' || worst_domain || ' (' || worst_score || '/100).' ELSE '' END
-   || CASE WHEN critical + high + medium > 0 THEN ' Fix SLA: ' || concat_ws(', ', CASE WHEN critical > 0 THEN 'critical ≤1d' END,
-        CASE WHEN high > 0 THEN 'high ≤7d' END, CASE WHEN medium > 0 THEN 'medium ≤14d' END) || '.' ELSE '' END AS summary FROM ms)
+   || CASE WHEN worst_score < 70 THEN ' Weakest: ' || worst_domain || ' at ' || worst_score || '.' ELSE '' END
+   || CASE WHEN critical + high + medium > 0 THEN ' Due: ' || concat_ws(', ', CASE WHEN critical > 0 THEN 'critical in 1 days' END,
+        CASE WHEN high > 0 THEN 'high in 7 days' END, CASE WHEN medium > 0 THEN 'medium in 14 days' END) || '.' ELSE '' END AS summary FROM ms)
 """
 
 
@@ -230,10 +230,10 @@ def q(ctes: str, body: str) -> str:
 
 def hotspot_sql(kind: str) -> str:
     label = {
-        "file": "'File hotspot: ' || string_split(key, '/')[-1]",
-        "module": "'Module hotspot: ' || string_split(key, '/')[-1]",
-        "dependency": "'Dependency hotspot: ' || string_split(key, '/')[-1]",
-        "pattern": "'Pattern hotspot: ' || key || ' (' || finding_count || '×)'",
+        "file": "'Crowded file ' || string_split(key, '/')[-1]",
+        "module": "'Crowded folder ' || string_split(key, '/')[-1]",
+        "dependency": "'Crowded manifest ' || string_split(key, '/')[-1]",
+        "pattern": "'Repeated rule ' || key || ' (' || finding_count || ' times)'",
     }[kind]
     return q(
         FV + "," + HOTSPOTS,
@@ -331,10 +331,10 @@ ORACLE = {
     "prioritized_clusters": q(DIAGNOSIS, "SELECT repo, category, impact_score, effort, batch, score_delta FROM pr"),
     "remediation_plan": q(
         ", ".join([DIAGNOSIS, scores("fv"), overall(), PLAN]),
-        f"""SELECT *, CASE WHEN fix_now_count = 0 THEN 'No critical issues detected (current score: ' || {num("current_score")}
-              || '). Resolving all clusters would bring your score to ' || {num("score_after_all")} || '.'
+        f"""SELECT *, CASE WHEN fix_now_count = 0 THEN 'Nothing urgent; the score is ' || {num("current_score")}
+              || '; with every cluster solved it would be ' || {num("score_after_all")} || '.'
             ELSE fix_now_count || ' cluster' || CASE WHEN fix_now_count > 1 THEN 's' ELSE '' END
-              || ' require immediate attention (Fix Now). Top issue: ' || top_category || '. Resolving Fix Now clusters improves your score from '
+              || ' to solve first, above all ' || top_category || '. They lift the score from '
               || {num("current_score")} || ' to ~' || {num("score_after_fix_now")} || ' (+'
               || {num("floor((score_after_fix_now - current_score) * 10 + 0.5) / 10")} || ' pts). Fixing everything brings it to ~'
               || {num("score_after_all")} || '.' END AS summary FROM pl""",
@@ -365,8 +365,8 @@ ORACLE = {
         DIAGNOSIS
         + f""", u AS (SELECT * FROM pr WHERE batch = 'fix_now' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY {PLAN_ORDER}) = 1),
             t AS (SELECT * FROM fv QUALIFY row_number() OVER (PARTITION BY repo ORDER BY {sev()} DESC, confidence DESC, seq) = 1)""",
-        f"""SELECT t.repo, coalesce('Resolve ' || {capital("u.category")} || ' (' || u.effort || ' effort, +' || {num("u.score_delta")}
-            || ' points estimated)', 'Address ' || t.id || ' (' || t.title || ')') AS first_action FROM t LEFT JOIN u USING (repo)""",
+        f"""SELECT t.repo, coalesce('Solve ' || {capital("u.category")} || ' (' || u.effort || ' effort, about +' || {num("u.score_delta")}
+            || ' points)', 'Look at ' || t.id || ' (' || t.title || ')') AS first_action FROM t LEFT JOIN u USING (repo)""",
     ),
     "causal_arrows": q(
         DIAGNOSIS,

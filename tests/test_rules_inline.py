@@ -173,7 +173,10 @@ def test_magic_numbers(files_of):
         ["x = 42;", "const y = 43;", "// 44", "a[45]", "port = 46", "v1.5", "expect(x).toBe(47)", "z = 0 + 1 + 100 + 3.14 + -7", "q = 1e6", "r = 8", "s = 9"]
     )
     found = RF.magic_numbers(files_of(("r", {"a.ts": text}))).collect()
-    assert [(r.title.split()[2], r.evidence[0].line) for r in found] == [("42", 1), ("3.14", 8), ("-7", 8), ("1e6", 9), ("8", 10)]
+    every = [("42", 1), ("3.14", 8), ("-7", 8), ("1e6", 9), ("8", 10), ("9", 11)]
+    assert [(r.title.split()[2], r.evidence[0].line) for r in found] == every
+    cut = RF.magic_numbers(files_of(("r", {"a.ts": text})), limit=5).collect()
+    assert len(cut) == 5
 
 
 def test_complexity_and_nesting(files_of):
