@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import doc_id_of, keyed, materialised, partitions_of, slices_of
+from lintlake.llm.common import bound, doc_id_of, keyed, materialised, partitions_of, slices_of
 
 LONGEST = 160
 TABLES, BASE, FIRST_RETRY, RETRIES = 3, 6, 2, 3
@@ -88,26 +88,28 @@ def peeled(cells: Column, size: Column) -> Column:
     item = lambda c: F.struct(c["key"].alias("key"), c["count"].alias("count"))
 
     def step(state, _):
-        out = F.array_distinct(F.transform(F.filter(state["cells"], pure), item))
-        freed = F.struct(_summed(F.concat(state["cells"], _cells_of(out, size, True))).alias("cells"), F.concat(state["found"], out).alias("found"))
-        return F.when(F.exists(state["cells"], pure), freed).otherwise(state)
+        taken = F.array_distinct(F.transform(F.filter(state["cells"], pure), item))
+
+        def without(out):
+            left = F.struct(_summed(F.concat(state["cells"], _cells_of(out, size, True))).alias("cells"), F.concat(state["found"], out).alias("found"))
+            return F.when(F.size(out) > 0, left).otherwise(state)
+
+        return bound(taken, without)
 
     start = F.struct(cells.cast(CELL).alias("cells"), F.array().cast("array<struct<key:bigint,count:int>>").alias("found"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.when(F.size(end["cells"]) == 0, end["found"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda end: F.when(F.size(end["cells"]) == 0, end["found"]))
 
 
 def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
     """Add the likeness of versions: name to columns (digests, base sketch) of one and of the other."""
     for name, (a, sa, b, sb) in pairs.items():
         n = F.size(a) + F.size(b)
-        tries = [F.size(peeled(subtracted(F.col(sa), F.col(sb)), F.lit(BASE)))]
+        tries = [F.array_size(peeled(subtracted(F.col(sa), F.col(sb)), F.lit(BASE)))]
         for k in range(RETRIES):
             size = n * F.lit(FIRST_RETRY * 4**k)
-            tries.append(F.size(peeled(subtracted(sketch(F.col(a), size), sketch(F.col(b), size)), size)))
+            tries.append(F.array_size(peeled(subtracted(sketch(F.col(a), size), sketch(F.col(b), size)), size)))
         # after all retries, whose joint failure has no practical chance, the digests themselves
         tries.append(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
-        tries = [F.when(t >= 0, t) for t in tries]
         shared = (n - F.col("differ")) / 2
         df = materialised(df, F.coalesce(*tries).alias("differ")).withColumn(name, F.when(n == 0, 1.0).otherwise(shared / (n - shared))).drop("differ")
     return df

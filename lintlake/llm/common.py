@@ -66,6 +66,11 @@ def materialised(df: DataFrame, *new: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*new))))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where ``body`` names it several times or in a loop."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def packed(value) -> bytes:
     """Arrays of one task for another one, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, 5))

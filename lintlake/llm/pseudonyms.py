@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialised
+from lintlake.llm.common import bound, materialised
 
 ROUNDS = 10
 KEY = "pseudonyms-1"
@@ -64,7 +64,7 @@ def permuted_digits(digits: Column, key: Column, kind: str, undo: bool = False)
     value = lambda s: F.when(F.length(s) == 0, F.lit(0).cast("bigint")).otherwise(s.cast("bigint"))
     pair = feistel(value(F.left(digits, u)), value(F.right(digits, n - u)), _power(10, u), _power(10, n - u), key, kind, undo)
     part = lambda x, k: F.when(k > 0, F.lpad(x.cast("string"), k, "0")).otherwise("")
-    return F.concat(part(pair["a"], u), part(pair["b"], n - u))
+    return bound(pair, lambda p: F.concat(part(p["a"], u), part(p["b"], n - u)))
 
 
 def _letters(s: Column) -> Column:
@@ -86,19 +86,23 @@ def permuted_letters(letters: Column, key: Column, kind: str, undo: bool = False
     n = F.length(head)
     u = F.floor(n / 2).cast("int")
     pair = feistel(_letters(F.left(head, u)), _letters(F.right(head, n - u)), _power(26, u), _power(26, n - u), key, kind, undo)
-    return F.concat(_as_letters(pair["a"], u), _as_letters(pair["b"], n - u), tail)
+    return F.concat(bound(pair, lambda p: F.concat(_as_letters(p["a"], u), _as_letters(p["b"], n - u))), tail)
 
 
 def _refilled(shape: Column, chars: Column, wanted: str) -> Column:
     """``shape`` with the characters that ``wanted`` matches replaced, in order, by ``chars``; letters keep their case."""
-    put = lambda s: F.substr(chars, s["i"] + 1, F.lit(1))
-    done = F.aggregate(
-        F.filter(F.split(shape, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
-        lambda s, c: F.when(
-            c.rlike(wanted), F.struct(F.concat(s["out"], F.when(c.rlike("[A-Z]"), F.upper(put(s))).otherwise(put(s))).alias("out"), (s["i"] + 1).alias("i"))
-        ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
-    )
-    return done["out"]
+
+    def fill(new):
+        put = lambda s: F.substr(new, s["i"] + 1, F.lit(1))
+        return F.aggregate(
+            F.filter(F.split(shape, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
+            lambda s, c: F.when(
+                c.rlike(wanted), F.struct(F.concat(s["out"], F.when(c.rlike("[A-Z]"), F.upper(put(s))).otherwise(put(s))).alias("out"), (s["i"] + 1).alias("i"))
+            ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
+            lambda s: s["out"],
+        )
+
+    return bound(chars, fill)
 
 
 def _digits(s: Column) -> Column:
@@ -146,8 +150,8 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
-    """The pseudonym of a match, or the match itself if it passes no check."""
+def pseudonym(m: Column, kind: Column, key: Column, undo: bool = False) -> Column:
+    """The pseudonym of a match of a kind, or the match itself if it has none."""
     digits, plain = _digits(m), F.replace(m, F.lit(" "))
     local, domain = F.substring_index(m, "@", 1), F.substr(m, F.length(F.substring_index(m, "@", 1)) + 1)
     name = _refilled(local, permuted_letters(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), key, "name", undo), "[A-Za-z]")
@@ -156,28 +160,27 @@ def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
     octet = F.transform(F.split(m, r"\."), lambda o: F.when(F.length(o) <= 3, o.cast("int")))
     half = F.lit(65536).cast("bigint")
     pair = feistel(F.get(octet, 0) * 256 + F.get(octet, 1), F.get(octet, 2) * 256 + F.get(octet, 3), half, half, key, "ip", undo)
-    ip = F.concat_ws(".", *[x.cast("string") for x in (F.floor(pair["a"] / 256), pair["a"] % 256, F.floor(pair["b"] / 256), pair["b"] % 256)])
+    ip = bound(pair, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)]))
 
     day, form = _date_of(m)
     number = F.datediff(day, F.lit(DAY_ONE).cast("date"))
     of_day = feistel(F.floor(number / DAYS[1]), number % DAYS[1], F.lit(DAYS[0]).cast("bigint"), F.lit(DAYS[1]).cast("bigint"), key, "date", undo)
-    new_day = F.date_add(F.lit(DAY_ONE).cast("date"), (of_day["a"] * DAYS[1] + of_day["b"]).cast("int"))
+    new_day = bound(of_day, lambda d: F.date_add(F.lit(DAY_ONE).cast("date"), (d["a"] * DAYS[1] + d["b"]).cast("int")))
     date = F.lit(None).cast("string")
     for pattern in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
         date = F.when(form == pattern, F.date_format(new_day, pattern)).otherwise(date)
 
     account = F.substr(plain, F.lit(5))
     new_account = _refilled(account, permuted_digits(F.left(_digits(account), F.lit(30)), key, "iban", undo), "[0-9]")
-    check = F.lpad((98 - _mod97(F.concat(F.left(plain, F.lit(2)), F.lit("00"), new_account))).cast("string"), 2, "0")
-    iban = _refilled(m, F.concat(F.left(plain, F.lit(2)), check, new_account), "[A-Z0-9]")
+    check = lambda a: F.lpad((98 - _mod97(F.concat(F.left(plain, F.lit(2)), F.lit("00"), a))).cast("string"), 2, "0")
+    iban = _refilled(m, bound(new_account, lambda a: F.concat(F.left(plain, F.lit(2)), check(a), a)), "[A-Z0-9]")
 
     middle = F.concat(F.left(digits, F.lit(1)), permuted_digits(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", undo))
-    last = F.pmod(10 - luhn_sum(F.concat(middle, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = _refilled(m, F.concat(middle, last), "[0-9]")
+    last = lambda x: F.pmod(10 - luhn_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string")
+    card = _refilled(m, bound(middle, lambda x: F.concat(x, last(x))), "[0-9]")
 
     phone = _refilled(m, F.concat(F.left(digits, F.lit(1)), permuted_digits(F.substr(digits, F.lit(2)), key, "phone", undo)), "[0-9]")
 
-    kind = kind_of(m)
     out = m
     for k, value in {"email": email, "ip": ip, "date": date, "iban": iban, "card": card, "phone": phone}.items():
         out = F.when(kind == k, value).otherwise(out)
@@ -195,7 +198,9 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, undo: bool = False) -> Data
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = materialised(docs, found.alias(FOUND), F.when(has, F.split(text, ANY, -1)).alias(PARTS))
     secret = F.lit(key)
-    rows = materialised(rows, F.transform(FOUND, lambda m: pseudonym(m, secret, undo)).alias(f"{FOUND}_new"), F.filter(F.transform(FOUND, kind_of), lambda k: k.isNotNull()).alias(KIND))
+    rows = materialised(rows, F.transform(FOUND, kind_of).alias(f"{KIND}_all"))
+    new = F.zip_with(FOUND, f"{KIND}_all", lambda m, k: pseudonym(m, k, secret, undo))
+    rows = materialised(rows, new.alias(f"{FOUND}_new"), F.array_compact(f"{KIND}_all").alias(KIND))
     joined = F.array_join(F.zip_with(PARTS, F.array_append(f"{FOUND}_new", F.lit("")), lambda p, m: F.concat(p, m)), "")
     new = F.when(F.size(FOUND) == 0, F.col("text")).otherwise(joined)
     return rows.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns], KIND)
