@@ -115,3 +115,36 @@ RULES = {
 EXTERNAL = {"semgrep": ("security", 0.9), "eslint": ("conventions", 1.0), "checkstyle": ("conventions", 1.0)}
 CUSTOM_PATTERN = ("security", 0.8)
 # -------------------------------------------------------------------------------
+
+
+#: Prefix of finding ids in each domain (fixed values).
+ID_PREFIX = {
+    "security": "SEC",
+    "tests": "TST",
+    "architecture": "ARC",
+    "conventions": "CNV",
+    "performance": "PRF",
+    "documentation": "DOC",
+    "tech-debt": "DEBT",
+    "accessibility": "ACC",
+    "api-design": "API",
+    "observability": "OBS",
+    "i18n": "INT",
+    "ux-consistency": "UX",
+}
+
+#: What to do about a finding of each domain, and how much work that usually is.
+ADVICE = {
+    "security": ("Close the hole, then look for the same mistake elsewhere.", "small"),
+    "tests": ("Add or repair the test, and run it with every change.", "medium"),
+    "architecture": ("Move the code to the layer it belongs to, or turn the dependency round.", "large"),
+    "conventions": ("Bring the place in line with the conventions of the repository.", "trivial"),
+    "performance": ("Take the slow call off the hot path and measure again.", "medium"),
+    "documentation": ("Write down what a reader of the repository misses.", "small"),
+    "tech-debt": ("Split or replace the code before it grows further.", "medium"),
+    "accessibility": ("Give the element a name or text that assistive software can read.", "trivial"),
+    "api-design": ("Rename or version the endpoint with its next release.", "small"),
+    "observability": ("Log, count or trace what happens here.", "small"),
+    "i18n": ("Move the text to the translation files.", "small"),
+    "ux-consistency": ("Use the shared value of the style guide.", "trivial"),
+}

@@ -9,26 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.catalog import ID_PREFIX
 from lintlake.functions.scalars import lookup
 from lintlake.schema import DOMAINS
 
-# --- Fixed values: finding-id prefix of each domain --------------------------
-ID_PREFIX = {
-    "security": "SEC",
-    "tests": "TST",
-    "architecture": "ARC",
-    "conventions": "CNV",
-    "performance": "PRF",
-    "documentation": "DOC",
-    "tech-debt": "DEBT",
-    "accessibility": "ACC",
-    "api-design": "API",
-    "observability": "OBS",
-    "i18n": "INT",
-    "ux-consistency": "UX",
-}
-# ------------------------------------------------------------------------------
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
