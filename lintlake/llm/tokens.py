@@ -17,8 +17,9 @@ import pyarrow as pa
 
 from lintlake.llm.text_arrays import chunks, ranges
 
-#: Fixed value: the split pattern of byte-level pre-tokenizers.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The split pattern of byte-level pre-tokenizers. No two alternatives but the second and fourth begin alike,
+#: so letters, the most frequent, are tried first.
+PIECES = r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 0
 #: Pieces that a worker keeps; then it starts anew.
 KEPT_PIECES = 1_000_000
