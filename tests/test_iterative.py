@@ -80,7 +80,7 @@ def frames(spark, truth, preds):
 
 @pytest.mark.parametrize(
     "seed,shape",
-    [(1, (25, 30, 4, 2, 40)), (2, (30, 20, 1, 1, 6)), (3, (20, 40, 2, 3, 12)), (4, (8, 8, 1, 2, 9))],
+    [(2, (14, 10, 1, 1, 6)), (3, (20, 40, 2, 3, 12)), (4, (8, 8, 1, 2, 9))],
 )
 def test_matching_equals_greedy(spark, seed, shape):
     rng = random.Random(seed)
