@@ -74,6 +74,35 @@ def test_policy_overrides(spark, tmp_path):
         policy_from_dict({"unknown": 1})
 
 
+def test_more_patterns_than_a_word_has_bits(spark):
+    from dataclasses import replace
+
+    from lintlake.operators.diagnose import correlate, infer_root_causes
+    from lintlake.policy import RootCausePattern
+
+    patterns = tuple(RootCausePattern(f"c{i}", any_rules=(f"rule{i}",)) for i in range(70))
+    policy = replace(DEFAULT_POLICY, patterns=patterns)
+    rows = [finding(10 * i + k, rule=f"rule{i}", evidence=[(f"d{i}/f{k}.ts", 1, None)]) for i in (3, 63, 69) for k in range(6)]
+    found = infer_root_causes(correlate(spark.createDataFrame(rows, FINDINGS), policy), policy)
+    got = {r.key: r.category for r in found.where("type = 'pattern'").collect()}
+    assert got == {f"rule{i}": f"c{i}" for i in (3, 63, 69)}
+
+
+def test_matches_with_lines_in_long_files(spark):
+    from pyspark.sql import functions as F
+
+    from lintlake.functions.text import matches_with_lines
+
+    content = "".join(f"x{i}\n" if i % 3 else f"x{i} y\n\n" for i in range(100_000))
+    df = spark.createDataFrame([(content,), ("",), ("none",)], "content string")
+    rows = df.select(matches_with_lines(F.col("content"), r"x\d+").alias("m")).collect()
+    lines, line = [], 1
+    for i in range(100_000):
+        lines.append(line)
+        line += 1 if i % 3 else 2
+    assert [m.line for m in rows[0].m] == lines and rows[1].m == rows[2].m == []
+
+
 def test_reading_folders(spark, tmp_path):
     for name, text in {"p1/src/a.ts": "x", "p1/node_modules/b.ts": "x", "p1/c.md": "y", "p2/d.java": "é"}.items():
         f = tmp_path / name
