@@ -30,19 +30,24 @@ from lintlake.llm.common import doc_id_of, joined_by_key, key_columns, keyed, wr
 
 MIN_WORDS, EDIT_WORDS = 5, 8
 SPACE = r"[ \t\x0B\f\r]+"
+BLANKS = " \t\x0b\f\r"
 PLACE = ["id", "tk", "at"]
 #: Names of own columns beside those of any table.
 REMOVED, LINES = "__llm_removed", "__llm_lines"
 
 
 def _plain(line: Column) -> Column:
-    """The words of a line with one space between them."""
-    return F.regexp_replace(F.regexp_replace(line, rf"^{SPACE}|{SPACE}$", ""), SPACE, " ")
+    """The words of a line with one space between them; only a line with other blanks needs the pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in BLANKS[1:]:
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "))).otherwise(F.btrim(line))
 
 
 def distinct_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines that may be removed ``(h, g, id, tk, at)``, and the first of equal ones with the keys of its ends."""
-    lines = rows.select("id", "tk", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("id", "tk", "at", _plain(F.col("line")).alias("line"))
+    lines = rows.select("id", "tk", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    lines = lines.select("id", "tk", "at", F.inline(F.array(F.struct(_plain(F.col("raw")).alias("line")))))
     counted = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1))
     a, b = "shiftleft(1, length(bin((n - 1) div 2)) - 1)", "shiftleft(1, length(bin(n div 2)) - 1)"
     key = lambda side, k, when="true": F.expr(
