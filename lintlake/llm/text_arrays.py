@@ -142,6 +142,7 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def values(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -22,7 +22,7 @@ from lintlake.llm.text_arrays import chunks, ranges
 PIECES = r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 0
 #: Pieces that a worker keeps; then it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 
 
 def byte_signs() -> dict[int, int]:
