@@ -39,24 +39,21 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(CHECK_BITS))
 
 
-def _cells_of(digests: Column, size: Column, sign=None) -> Column:
-    """What each digest adds to its cells; ``sign(digest)`` is its count, else 1."""
-    return F.flatten(
-        F.transform(
-            digests,
-            lambda d: F.array(
-                *[
-                    F.struct(
-                        (F.pmod(F.xxhash64(d if sign is None else d["key"], F.lit(t)), size) + size * t).cast("int").alias("cell"),
-                        (F.lit(1) if sign is None else -d["count"]).alias("count"),
-                        (d if sign is None else d["key"]).alias("key"),
-                        _check(d if sign is None else d["key"]).alias("check"),
-                    )
-                    for t in range(TABLES)
-                ]
-            ),
+def _cells_of(items: Column, size: Column, key=lambda d: d, count=lambda d: F.lit(1)) -> Column:
+    """What each item adds to its cells: its digest is ``key(item)``, and it counts ``count(item)`` times."""
+
+    def adds(d):
+        return F.array(
+            *[
+                F.struct(
+                    (F.pmod(F.xxhash64(key(d), F.lit(t)), size) + size * t).cast("int").alias("cell"),
+                    count(d).cast("int").alias("count"), key(d).alias("key"), _check(key(d)).alias("check"),
+                )
+                for t in range(TABLES)
+            ]
         )
-    )
+
+    return F.flatten(F.transform(items, adds))
 
 
 def _summed(cells: Column) -> Column:
@@ -82,22 +79,32 @@ def subtracted(a: Column, b: Column) -> Column:
     return _summed(F.concat(a, negated))
 
 
+def difference(a: Column, b: Column, size: Column) -> Column:
+    """The difference of the sketches of two versions with ``size`` cells a table."""
+    return _summed(F.concat(_cells_of(a, size), _cells_of(b, size, count=lambda d: F.lit(-1))))
+
+
 def peeled(cells: Column, size: Column) -> Column:
-    """Digests with their counts (1: only in the first version) that a difference of sketches holds; null if some can't be freed."""
-    pure = lambda c: (F.abs(c["count"]) == 1) & (_check(c["key"]) == c["check"])
-    item = lambda c: F.struct(c["key"].alias("key"), c["count"].alias("count"))
+    """Digests with their counts (1: only in the first version) that a difference of sketches holds; null if some can't be freed.
+
+    The tables take turns, since a digest has one cell in each; it ends when no table has a cell to free.
+    """
 
-    def step(state, _):
-        taken = F.array_distinct(F.transform(F.filter(state["cells"], pure), item))
+    def step(state, turn):
+        table = turn % TABLES
+        pure = lambda c: (F.abs(c["count"]) == 1) & (c["cell"] >= size * table) & (c["cell"] < size * (table + 1)) & (_check(c["key"]) == c["check"])
+        out = F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["key"].alias("key"), c["count"].alias("count")))
 
-        def without(out):
-            left = F.struct(_summed(F.concat(state["cells"], _cells_of(out, size, True))).alias("cells"), F.concat(state["found"], out).alias("found"))
-            return F.when(F.size(out) > 0, left).otherwise(state)
+        def without(free):
+            taken = _cells_of(free, size, lambda d: d["key"], lambda d: -d["count"])
+            left = F.struct(_summed(F.concat(state["cells"], taken)).alias("cells"), F.concat(state["found"], free).alias("found"), F.lit(0).alias("idle"))
+            same = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), (state["idle"] + 1).alias("idle"))
+            return F.when(F.size(free) > 0, left).otherwise(same)
 
-        return bound(taken, without)
+        return F.when((state["idle"] >= TABLES) | (F.size(state["cells"]) == 0), state).otherwise(bound(out, without))
 
-    start = F.struct(cells.cast(CELL).alias("cells"), F.array().cast("array<struct<key:bigint,count:int>>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda end: F.when(F.size(end["cells"]) == 0, end["found"]))
+    start = F.struct(cells.cast(CELL).alias("cells"), F.array().cast("array<struct<key:bigint,count:int>>").alias("found"), F.lit(0).alias("idle"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS)), start, step, lambda end: F.when(F.size(end["cells"]) == 0, end["found"]))
 
 
 def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
@@ -107,7 +114,7 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) ->
         tries = [F.array_size(peeled(subtracted(F.col(sa), F.col(sb)), F.lit(BASE)))]
         for k in range(RETRIES):
             size = n * F.lit(FIRST_RETRY * 4**k)
-            tries.append(F.array_size(peeled(subtracted(sketch(F.col(a), size), sketch(F.col(b), size)), size)))
+            tries.append(F.array_size(peeled(difference(F.col(a), F.col(b), size), size)))
         # after all retries, whose joint failure has no practical chance, the digests themselves
         tries.append(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
         shared = (n - F.col("differ")) / 2
