@@ -15,8 +15,19 @@ from lintlake.session import ensure_checkpoint_dir
 NO_ID = -(2**63)
 
 
+#: Rows of an Arrow batch: whole texts are wide, and two batches a worker are held at once.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches of texts, unless the session has a setting of its own."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def key_columns(docs: DataFrame) -> dict[str, Column]:
     """Expressions of ``id``, ``tk`` and ``text`` as in :func:`keyed`."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return {"id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "tk": F.xxhash64(text), "text": text}
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintlake.llm.common import small_batches
 from lintlake.llm.text_arrays import ALNUM, LOWER, Sums, chunks, lists_of, ranges, split, texts_of
 
 WINDOW = 10
@@ -222,6 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("string").alias("text")).where("item is not null and text is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     column = docs.columns.index("text")

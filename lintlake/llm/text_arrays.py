@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,6 +135,13 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Free memory that allocators keep: the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in pieces of at most ``limit`` bytes of text, or of one row."""
     for batch in batches:
@@ -142,7 +151,7 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
-    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    give_back()
 
 
 def values(batch: pa.RecordBatch, name: str) -> np.ndarray:
