@@ -67,7 +67,7 @@ def _summed(cells: Column) -> Column:
         same = (F.size(a) > 0) & (F.get(a, F.size(a) - 1)["cell"] == c["cell"])
         return F.when(same, F.array_append(F.slice(a, 1, F.size(a) - 1), both)).otherwise(F.array_append(a, c))
 
-    return F.filter(F.aggregate(F.array_sort(cells), F.array().cast(CELL), add), lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.filter(F.aggregate(F.sort_array(cells), F.array().cast(CELL), add), lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
 
 def sketch(digests: Column, size: Column) -> Column:
