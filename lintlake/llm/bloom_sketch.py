@@ -58,16 +58,26 @@ def _cells_of(items: Column, size: Column, key=lambda d: d, count=lambda d: F.li
 
 def _summed(cells: Column) -> Column:
     """Cells of one place added up, in order of place; empty ones are left out."""
-    last = lambda a: F.element_at(a, -1)
 
     def add(a, c):
-        both = F.struct(
-            c["cell"].alias("cell"), (last(a)["count"] + c["count"]).alias("count"), last(a)["key"].bitwiseXOR(c["key"]).alias("key"), last(a)["check"].bitwiseXOR(c["check"]).alias("check")
+        return F.struct(
+            c["cell"].alias("cell"), (a["count"] + c["count"]).alias("count"), a["key"].bitwiseXOR(c["key"]).alias("key"), a["check"].bitwiseXOR(c["check"]).alias("check")
         )
-        same = (F.size(a) > 0) & (F.get(a, F.size(a) - 1)["cell"] == c["cell"])
-        return F.when(same, F.array_append(F.slice(a, 1, F.size(a) - 1), both)).otherwise(F.array_append(a, c))
 
-    return F.filter(F.aggregate(F.sort_array(cells), F.array().cast(CELL), add), lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    zero = F.struct(F.lit(0).alias("cell"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check"))
+
+    def runs(ordered):
+        n = F.size(ordered)
+        place = lambda i: F.get(ordered, i)["cell"]
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (place(i) != place(i - 1)))
+
+        def added(at):
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(n))
+            return F.zip_with(at, ends, lambda i, j: F.aggregate(F.slice(ordered, i + 1, j - i), zero, add))
+
+        return F.when(n > 0, bound(starts, added)).otherwise(F.array().cast(CELL))
+
+    return F.filter(bound(F.sort_array(cells), runs), lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
 
 def sketch(digests: Column, size: Column) -> Column:
