@@ -20,9 +20,11 @@ The join makes no pair whose 128 low bytes of minhashes agree too seldom (72 of
 five deviations away) or whose sizes rule a link out. Links are confirmed on full sets of shingles.
 
 Defined results: a document without words, or null, has the empty set and is linked with nothing. With
-fewer than five words the whole sequence is the only shingle. Rows that share a doc_id are one document,
-linked with what any of them is linked with. A missing doc_id counts as the least one. Extra columns are
-ignored. An empty table gives an empty result.
+fewer than five words the whole sequence is the only shingle. Nodes are numbers of shingle sets, not doc_ids, so
+rows are linked by their texts alone and one row of each component is kept: the least by (doc_id, digest of the
+text). Rows that repeat both are one document. In the report, ``component_id`` is the least doc_id of the documents
+that a chain of links joins, where rows that share a doc_id are linked too; rows without a doc_id aren't linked for that.
+A missing doc_id counts as the least one. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import doc_id_of, key_columns, keyed, written
+from lintlake.llm.common import NO_ID, doc_id_of, key_columns, keyed, written
 from lintlake.llm.components import components
 from lintlake.llm.text_arrays import LOWER, NOT_SPACE, Sums, chunks, mix, ngrams, ranges, split, texts_of, values
 
@@ -105,7 +107,7 @@ def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, first = shingle_sets(*texts_of(batch.column("text")))
         body = shingles.tobytes()
         cut = first * 8
-        yield pa.record_batch([batch.column("id"), pa.array([body[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["node", "body"])
+        yield pa.record_batch([batch.column("node"), pa.array([body[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["node", "body"])
 
 
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,29 +149,29 @@ def _halves_of(own: DataFrame, value: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(id, tk, n_shingles, component)`` of every row; the component is the least id reachable."""
+    """``(id, tk, n_shingles, least)`` of every row; ``least (id, tk)`` is the first row of its component."""
     rows = keyed(docs)
-    sketch = written(rows.mapInArrow(_sketch, SKETCH))
-    equal = ["d1", "d2", "n"]
-    classes = sketch.groupBy(*equal).agg(F.min("id").alias("node"))
-    node = F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("id")).alias("node")  # empty sets aren't equal to one another
-    members = written(sketch.select("id", "tk", *equal).join(classes, equal).select("id", "tk", F.col("n").alias("n_shingles"), node))
-    twice = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b")  # one doc_id, several sets
-
-    first = sketch.where("n > 0").join(classes, equal).where("id = node").select("node", "n", "low", "halves")
+    sketch = written(rows.mapInArrow(_sketch, SKETCH).withColumn("at", F.monotonically_increasing_id()))
+    equal, own_key = ["d1", "d2", "n"], F.struct("id", "tk").alias("least")
+    classes = sketch.where("n > 0").groupBy(*equal).agg(F.min(F.struct("id", "tk", "at")).alias("own"))
+    classes = written(classes.select(*equal, "own.*", F.monotonically_increasing_id().alias("node")))  # written, so numbers stay
+    alone = sketch.where("n = 0").select("id", "tk", F.col("n").alias("n_shingles"), own_key)  # empty sets aren't equal to one another
+    members = written(sketch.where("n > 0").select("id", "tk", *equal).join(classes.select(*equal, "node"), equal).select("id", "tk", F.col("n").alias("n_shingles"), "node"))
+
+    first = sketch.select("at", "n", "low", "halves").join(classes.select("at", "node"), "at")
     halves = first.select("node", F.posexplode("halves").alias("pos", "h")).select("node", "h", (F.col("pos") >= HALVES).cast("int").alias("side"))
     least = halves.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("top")).where("m != top").select("h", "m")
     own = written(halves.join(least, "h"))
 
     candidates = own.select("node").distinct()
     sets = written(first.select("node", "n", "low").join(candidates, "node"))
-    bodies = written(rows.join(candidates, rows["id"] == candidates["node"], "left_semi").select("id", "text").mapInArrow(_bodies, "node long, body binary"))
+    texts = rows.join(classes.select("id", "tk", "node").join(candidates, "node"), ["id", "tk"]).dropDuplicates(["id", "tk"])  # rows may repeat
+    bodies = written(texts.select("node", "text").mapInArrow(_bodies, "node long, body binary"))
 
     star = _halves_of(own, "m").select(F.explode(F.array_intersect("left", "right")).alias("a"), F.col("node").alias("b")).where("a != b")
     possible = may_link(F.col("n_a"), F.col("low_a"), F.col("n_b"), F.col("low_b"))
     star = star.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a").where(possible).select("a", "b")
-    edges = _verified(star, bodies).unionByName(twice)
-    comp = written(components(edges))
+    comp = written(components(_verified(star, bodies)))
 
     def with_comp(df):
         return df.join(comp.select("node", F.col("comp").alias("_c")), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
@@ -203,24 +205,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             comp = written(components(old.unionByName(links)))
         group = active.select("h", "node").join(pivots, ["h", "node"], "left_anti")
         take *= FASTER
-    return with_comp(members).select("id", "tk", "n_shingles", F.col("comp").alias("component"))
+    named = comp.join(classes.select("node", own_key), "node")
+    least = written(named.join(named.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("node", "first"))
+    firsts = classes.select("node", own_key).join(least, "node", "left").select("node", F.coalesce("first", "least").alias("least"))
+    return members.join(firsts, "node").select("id", "tk", "n_shingles", "least").unionByName(alone)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``; the least document of each component is kept."""
-    out = near_duplicates(docs)
-    return out.select(
-        doc_id_of(F.col("id")).alias("doc_id"), "n_shingles", doc_id_of(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
-    )
+    out = written(near_duplicates(docs).withColumn("component", F.col("least.id")))
+    several = out.where(F.col("id") != F.lit(NO_ID)).groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("id")
+    chains = components(out.select("id", "component").join(several, "id").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    out = out.join(chains.withColumnRenamed("node", "component"), "component", "left")
+    kept = F.col("least") == F.struct("id", "tk")
+    return out.select(doc_id_of(F.col("id")).alias("doc_id"), "n_shingles", doc_id_of(F.coalesce("comp", "component")).alias("component_id"), kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id, once."""
+    """``docs`` with one row of each component: the one with the least doc_id, once."""
     names = {"id": "_llm_id", "tk": "_llm_tk"}
     key = key_columns(docs)
     rows = docs.withColumns({own: key[c] for c, own in names.items()})
-    kept = near_duplicates(docs).where("id = component").select(*[F.col(c).alias(names[c]) for c in ("id", "tk")]).distinct()
-    once = Window.partitionBy("_llm_id").orderBy("_llm_tk")
+    kept = near_duplicates(docs).where(F.col("least") == F.struct("id", "tk")).select(*[F.col(c).alias(names[c]) for c in ("id", "tk")]).distinct()
+    once = Window.partitionBy(*names.values()).orderBy(F.lit(0))  # rows that repeat doc_id and text
     return rows.join(kept, list(names.values()), "left_semi").withColumn("_llm_at", F.row_number().over(once)).where("_llm_at = 1").select(*docs.columns)
 
 

@@ -89,6 +89,20 @@ def test_rows_of_one_id_with_several_texts(docs_of):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_lose_no_text(docs_of):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    # unlike texts without an id, near and exact copies of them, unlike texts under one id, texts without words
+    rows = [(None, a), (None, b), (None, b), (None, b + " end"), (4, a + " end"), (5, c), (6, c + " end"), (7, d), (7, e), (8, d + " end"), (None, ""), (9, None), (9, "x y")]
+    kept = tensor_minhash.keep_first(docs_of(rows)).collect()
+    sets = [shingles(r.text) for r in kept]
+    for text in {t for _, t in rows if t}:  # every text has itself or one near copy among the kept
+        own = shingles(text)
+        assert sum(own == s or 100 * len(own & s) >= 75 * len(own | s) for s in sets) == 1
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept) == [(0, ""), (0, "a"), (0, "b"), (5, "c"), (7, "d"), (7, "e"), (9, ""), (9, "x")]
+    got = {(r.doc_id, r.component_id) for r in tensor_minhash.report(docs_of(rows)).collect()}
+    assert got == {(None, None), (4, None), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9)}
+
+
 def test_empty_table(docs_of):
     assert tensor_minhash.report(docs_of({})).collect() == []
 
