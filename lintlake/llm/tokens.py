@@ -2,8 +2,9 @@
 
 Where the tokenizer is byte-level BPE without a normaliser, its merges never cross the pieces that its
 split pattern makes, so each distinct piece is encoded once by the library's model and kept; the ids of a
-text are those of its pieces. Any other tokenizer encodes whole texts. Special tokens in a text are
-ordinary text.
+text are those of its pieces. Any other tokenizer encodes whole texts. The queries give the library's default ids
+(``add_special_tokens=False``): an added token that stands in a text is one id, and such a text is encoded whole.
+With ``added=False`` special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         kind = json.loads(self.tokenizer.to_str())
         split = kind["pre_tokenizer"] or {}
         self.by_piece = (
@@ -62,6 +63,8 @@ class Encoder:
             and not split.get("add_prefix_space") and split.get("use_regex", True)
         )
         self.split = regex.compile(PIECES).findall
+        tokens = [t["content"] for t in kind["added_tokens"] if added or not t["special"]]
+        self.whole = regex.compile("|".join(map(regex.escape, tokens))).search if tokens else None
         self.pieces = _Pieces(self.tokenizer.model)
 
     def __call__(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +86,11 @@ class Encoder:
         if len(self.pieces) > KEPT_PIECES:
             self.pieces = _Pieces(self.tokenizer.model)
         number = self.pieces.__getitem__
-        found = []
-        for text in texts:
+        found, whole = [], {}
+        for k, text in enumerate(texts):
+            if self.whole and self.whole(text or ""):
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                text = None
             pieces = self.split(text or "")
             found.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
         which = np.concatenate([np.zeros(0, np.int64), *found])
@@ -93,7 +99,15 @@ class Encoder:
         ids = np.array(self.pieces.ids, np.uint32)[ranges(ends[which], size)]
         total = np.concatenate([[0], np.cumsum(size)])
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        return ids, np.diff(total[cuts])
+        sizes = np.diff(total[cuts])
+        if whole:
+            at = total[cuts]
+            parts, last = [], 0
+            for k, own in whole.items():
+                parts += [ids[last : at[k]], own]
+                last, sizes[k] = at[k], len(own)
+            ids = np.concatenate([*parts, ids[last:]])
+        return ids, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,7 +116,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary: what it has learnt serves later tasks too."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

@@ -35,6 +35,18 @@ def test_pieces_give_the_ids_of_whole_texts(library, corpus):
         assert ids[first[i] : first[i + 1]].tolist() == library(t), repr(t)[:80]
 
 
+def test_added_tokens_are_those_of_the_unchanged_library(spark, docs_of):
+    default = Tokenizer.from_file(VOCABULARY)
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", "plain", mark, f"{mark}{mark}", None, f"x\n{mark}  y {mark[:-1]}", "<|endoftext", f"end {mark}", "plain"]
+    want = [[*default.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    ids, first = Encoder(VOCABULARY, added=True)(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+    rows = vector_packing.pack_documents(docs_of(dict(enumerate(texts))), VOCABULARY).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(w), crc(w)) for i, w in enumerate(want)}
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = Encoder(path)
