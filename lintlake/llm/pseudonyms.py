@@ -6,7 +6,12 @@ IBANs, payment cards and phone numbers. What passes its check (octets up to 255,
 format: a Feistel network over the two halves of the value, whose rounds add a keyed SHA-256 of one half to the
 other, modulo the number of values that half can have. Signs, lengths and check digits stay right, so a pseudonym
 passes the same checks. Equal values have equal pseudonyms in all documents, however they are punctuated; with the
-key the permutation can be undone.
+key the permutation can be undone, which finds a value again unless its pseudonym passes a check together with
+digits beside it.
+
+An IBAN has the length of its country. Where a run of digit groups fails as a whole, the first longest part of whole
+groups that is a card is taken, else the first longest that is a phone number. Runs are matched up to 19 digits, so a
+card that begins in a run of more digits and ends behind its 19th is not found.
 
 Defined results: a null text stays null; texts without findings stay as they are; a match that fails its check stays and
 isn't counted. Repeated rows are treated alike. Extra columns pass through. Empty tables give no rows.
@@ -24,14 +29,31 @@ KEY = "pseudonyms-1"
 KINDS = ("email", "ip", "date", "iban", "card", "phone")
 #: Days of 1900 to 2099 are 17 * 4297, so a day has two halves without remainder.
 DAY_ONE, DAYS = "1900-01-01", (17, 4297)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(n: int, countries: str) -> str:
+    groups, rest = divmod(n - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": r"(?<![\dA-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\dA-Za-z])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)",
+    "iban_of_country": rf"(?<![\dA-Za-z])(?:{'|'.join(_iban_of(*x) for x in IBAN_LENGTHS.items())})(?![A-Za-z0-9])",
     "iban": r"(?<![\dA-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "dotted": r"(?<![\dA-Za-z.])(?:\+?\d{1,3}\.)?\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)",
     "number": r"(?<![\dA-Za-z])\+?\(?\d(?:[ ()-]{0,2}\d){7,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
+DOTTED = r"^(\+?\d{1,3}\.)?\d{3}\.\d{3}\.\d{4}$"
+#: Characters of a block that is permuted at once.
+LETTERS, DIGITS = 20, 30
 
 
 def _round_value(key: Column, kind: str, i: Column, half: Column) -> Column:
@@ -81,12 +103,17 @@ def _as_letters(v: Column, n: Column) -> Column:
 
 
 def permuted_letters(letters: Column, key: Column, kind: str, undo: bool = False) -> Column:
-    """A permutation of the strings of as many lower-case letters; those behind the 20th stay."""
-    head, tail = F.left(letters, F.lit(20)), F.substr(letters, F.lit(21))
-    n = F.length(head)
+    """A permutation of the strings of as many lower-case letters (up to 20)."""
+    n = F.length(letters)
     u = F.floor(n / 2).cast("int")
-    pair = feistel(_letters(F.left(head, u)), _letters(F.right(head, n - u)), _power(26, u), _power(26, n - u), key, kind, undo)
-    return F.concat(bound(pair, lambda p: F.concat(_as_letters(p["a"], u), _as_letters(p["b"], n - u))), tail)
+    pair = feistel(_letters(F.left(letters, u)), _letters(F.right(letters, n - u)), _power(26, u), _power(26, n - u), key, kind, undo)
+    return bound(pair, lambda p: F.concat(_as_letters(p["a"], u), _as_letters(p["b"], n - u)))
+
+
+def _by_blocks(chars: Column, width: int, permuted) -> Column:
+    """``chars`` with every block of up to ``width`` characters permuted."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(chars) - 1, F.lit(0)), F.lit(width))
+    return F.array_join(F.transform(starts, lambda i: bound(F.substr(chars, i + 1, F.lit(width)), permuted)), "")
 
 
 def _refilled(shape: Column, chars: Column, wanted: str) -> Column:
@@ -145,17 +172,59 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.when(F.year(day).between(1900, 2099), F.lit("date")))
         .when(m.rlike("^[A-Z]{2}"), F.when(F.length(plain).between(15, 34) & (_mod97(plain) == 1), F.lit("iban")))
-        .when(n.between(13, 19) & ~F.startswith(m, F.lit("+")) & (luhn_sum(_digits(m)) % 10 == 0), F.lit("card"))
-        .when(n.between(8, 15) & (F.startswith(m, F.lit("+")) | m.rlike(r"\d[ ()-]+\d+[ ()-]+\d")), F.lit("phone"))
+        .when(m.rlike(DOTTED), F.lit("phone"))
+        .when(_is_card(m), F.lit("card"))
+        .when(_is_phone(m), F.lit("phone"))
     )
 
 
+def _is_card(m: Column) -> Column:
+    return F.length(_digits(m)).between(13, 19) & ~F.startswith(m, F.lit("+")) & (luhn_sum(_digits(m)) % 10 == 0)
+
+
+def _is_phone(m: Column) -> Column:
+    return F.length(_digits(m)).between(8, 15) & (F.startswith(m, F.lit("+")) | m.rlike(r"\d[ ()-]+\d+[ ()-]+\d"))
+
+
+def _shorter(m: Column) -> Column:
+    """The beginnings of a match that end with a word, the longest first."""
+
+    def beginnings(words):
+        n = F.size(words)
+        text = lambda i, j: F.array_join(F.slice(words, i, j - i + 1), " ")
+        each = lambda j: F.struct(F.lit("").alias("before"), text(F.lit(1), j).alias("body"), F.concat(F.lit(" "), text(j + 1, n)).alias("after"))
+        return F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), each))
+
+    return bound(F.split(m, " "), beginnings)
+
+
+def part_of(m: Column) -> Column:
+    """What a match that fails its check begins with, the part of it that passes one, and the rest; null without one."""
+
+    def longest(groups):
+        n = F.size(groups)
+        text = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+
+        def part(i, j):
+            lead = F.regexp_extract(text(i, j), "^[ )-]*", 0)
+            before = F.concat(F.when(i > 1, text(F.lit(1), i - 1)).otherwise(""), lead)
+            body = F.substr(text(i, j), F.length(lead) + 1)
+            return F.struct(before.alias("before"), body.alias("body"), F.when(j < n, text(j + 1, n)).otherwise("").alias("after"))
+
+        parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(n, i, F.lit(-1)), lambda j: part(i, j))))
+        good = lambda check: lambda all_: F.get(F.filter(all_, lambda x: check(x["body"])), 0)
+        return F.when(n > 1, bound(parts, lambda x: F.coalesce(good(_is_card)(x), good(_is_phone)(x))))
+
+    iban = F.filter(_shorter(m), lambda x: (F.length(F.replace(x["body"], F.lit(" "))).between(15, 34)) & (_mod97(F.replace(x["body"], F.lit(" "))) == 1))
+    return F.when(m.rlike(r"^\+?\(?\d[\d ()-]*$"), bound(F.regexp_extract_all(m, F.lit(r"[ ()+-]*\d+"), F.lit(0)), longest)).when(m.rlike("^[A-Z]{2}"), F.get(iban, 0))
+
+
 def pseudonym(m: Column, kind: Column, key: Column, undo: bool = False) -> Column:
     """The pseudonym of a match of a kind, or the match itself if it has none."""
     digits, plain = _digits(m), F.replace(m, F.lit(" "))
     local, domain = F.substring_index(m, "@", 1), F.substr(m, F.length(F.substring_index(m, "@", 1)) + 1)
-    name = _refilled(local, permuted_letters(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), key, "name", undo), "[A-Za-z]")
-    email = F.concat(_refilled(name, permuted_digits(F.left(_digits(local), F.lit(30)), key, "mail", undo), "[0-9]"), domain)
+    name = _refilled(local, _by_blocks(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), LETTERS, lambda x: permuted_letters(x, key, "name", undo)), "[A-Za-z]")
+    email = F.concat(_refilled(name, _by_blocks(_digits(local), DIGITS, lambda x: permuted_digits(x, key, "mail", undo)), "[0-9]"), domain)
 
     octet = F.transform(F.split(m, r"\."), lambda o: F.when(F.length(o) <= 3, o.cast("int")))
     half = F.lit(65536).cast("bigint")
@@ -198,8 +267,10 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, undo: bool = False) -> Data
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = materialised(docs, found.alias(FOUND), F.when(has, F.split(text, ANY, -1)).alias(PARTS))
     secret = F.lit(key)
-    rows = materialised(rows, F.transform(FOUND, kind_of).alias(f"{KIND}_all"))
-    new = F.zip_with(FOUND, f"{KIND}_all", lambda m, k: pseudonym(m, k, secret, undo))
+    whole = lambda m: F.struct(F.lit("").alias("before"), m.alias("body"), F.lit("").alias("after"))
+    rows = materialised(rows, F.transform(FOUND, lambda m: F.when(kind_of(m).isNull(), F.coalesce(part_of(m), whole(m))).otherwise(whole(m))).alias(f"{FOUND}_cut"))
+    rows = materialised(rows, F.transform(f"{FOUND}_cut", lambda x: kind_of(x["body"])).alias(f"{KIND}_all"))
+    new = F.zip_with(f"{FOUND}_cut", f"{KIND}_all", lambda x, k: F.concat(x["before"], pseudonym(x["body"], k, secret, undo), x["after"]))
     rows = materialised(rows, new.alias(f"{FOUND}_new"), F.array_compact(f"{KIND}_all").alias(KIND))
     joined = F.array_join(F.zip_with(PARTS, F.array_append(f"{FOUND}_new", F.lit("")), lambda p, m: F.concat(p, m)), "")
     new = F.when(F.size(FOUND) == 0, F.col("text")).otherwise(joined)

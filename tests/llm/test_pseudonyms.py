@@ -84,6 +84,30 @@ def test_what_fails_its_check_stays(docs_of):
         assert r.text == LEFT[i] and r[pseudonyms.KIND] == []
 
 
+def test_values_beside_other_words_are_found(docs_of):
+    cases = [
+        ("4111 1111 1111 1111", "{} 123", "card"), ("4111111111111111", "{} 12/25", "card"), ("378282246310005", "{} 1234", "card"), ("4111 1111 1111 1111", "12 {}", "card"),
+        ("ES91 2100 0418 4502 0005 1332", "{} EUR", "iban"), ("DE89370400440532013000", "{} EUR", "iban"), ("ES9121000418450200051332", "{} 1234", "iban"),
+        ("555.123.4567", "{}", "phone"), ("+1.555.123.4567", "({})", "phone"), ("+49 30 1234567", "{} 12345678", "phone"),
+    ]
+    rows = texts(pseudonyms.with_pseudonyms(docs_of({i: f"Pay {around.format(m)}." for i, (m, around, _) in enumerate(cases)})))
+    for i, (m, around, kind) in enumerate(cases):
+        found = re.fullmatch(r"Pay " + re.escape(around).replace(r"\{\}", "(.*)") + r"\.", rows[i].text)
+        assert found and rows[i][pseudonyms.KIND] == [kind], (m, rows[i].text)
+        assert found[1] != m and shape(kind, found[1]) == shape(kind, m) and valid(kind, found[1])
+
+
+def test_long_names_have_no_clear_tail(docs_of):
+    letters, digits = "abcdefghijklmnopqrst" + "secretname", "1" * 30 + "23456"
+    docs = docs_of({1: f"{letters}@x.org", 2: f"a{digits}@x.org"})
+    new = pseudonyms.with_pseudonyms(docs)
+    rows = texts(new)
+    assert "secretname" not in rows[1].text and len(rows[1].text) == len(letters) + 6
+    assert "23456" not in rows[2].text and re.fullmatch(r"[a-z]\d{35}@x\.org", rows[2].text)
+    back = texts(pseudonyms.with_pseudonyms(new.drop(pseudonyms.KIND), undo=True))
+    assert [back[i].text for i in (1, 2)] == [f"{letters}@x.org", f"a{digits}@x.org"]
+
+
 def test_feistel_is_a_permutation(spark):
     key = F.lit("k")
     df = spark.range(1000)
