@@ -9,9 +9,10 @@ windows long. Equal windows have equal minimisers, and they lie equally far from
 2. where a minimiser has several digests, one run of each is cut by distance from the minimiser, and a
    piece goes to the shard of the bytes that all its windows share. This splits the groups of hot
    minimisers by their surroundings; equal pieces travel once.
-3. a shard sorts the suffixes of the pieces whose shared bytes stand in several of them, by external
-   induction (:mod:`lintlake.llm.induced`): its queues go to disk beyond a size, so a shard may be larger
-   than memory. Windows whose neighbour in the order shares 400 bytes are removed.
+3. a shard sorts the suffixes of the pieces whose shared bytes stand in several of them, by induction
+   (:mod:`lintlake.llm.induced`). Its queues go to disk beyond a size, but pieces, text and order are in memory:
+   a shard must fit in the memory of a task, and a shared core that stands in very many surroundings is not
+   split further. Windows whose neighbour in the order shares 400 bytes are removed.
 
 Defined results: a null is an empty text; texts under 400 bytes lose nothing. Matches never cross texts.
 Rows that repeat doc_id and text count as one document, and each gets the same row. Extra columns are
