@@ -342,3 +342,9 @@ def test_junit_roots_and_empty_failures(files_of):
     )
     got = sorted((r.repo, r.title) for r in SR.junit_failures(files).collect())
     assert got == [(x, t) for x in "ab" for t in ("Failing test: (unknown test)", "Failing test: t1")]
+
+
+def test_parameters_in_deep_brackets(spark):
+    lists = {"a: " + "T<" * k + "x, y" + ">, z" * (k - 1) + ">, b, c": 3 for k in (1, 6, 7, 8, 20)}
+    df = spark.createDataFrame([(x,) for x in lists], "x string")
+    assert {r[0]: r[1] for r in df.select("x", RF.parameter_count(F.col("x"))).collect()} == lists
