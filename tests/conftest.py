@@ -32,7 +32,3 @@ def files_of(spark):
         return spark.createDataFrame(rows, "repo string, path string, ext string, content string")
 
     return build
-
-
-def rules(findings):
-    return sorted(r.rule for r in findings.select("rule").collect())

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rules
+from rule_names import rules
 from pyspark.sql import functions as F
 
 from lintlake.operators import cross, imports, routes
