@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lintlake.llm import (
-    bloom_sketch, fm_index, induced_dedup, line_dedup, pfor, pseudonyms, random_index, superkmers, tensor_minhash, vector_packing,
+    bit_codes, bloom_sketch, fm_index, induced_dedup, line_dedup, pfor, pseudonyms, random_index, superkmers, tensor_minhash, vector_packing,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_bloom_fingerprints": bloom_sketch.query,
     "op9_feistel_pseudonyms": pseudonyms.query,
     "op10_quality_network": random_index.query,
+    "op13_bit_codes": bit_codes.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op6_deletion_line_dedup": line_dedup.SQL}
