@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lintlake.llm import (
-    bit_codes, bloom_sketch, fm_index, induced_dedup, line_dedup, pfor, prefix_parse, pseudonyms, random_index, superkmers, tensor_minhash, vector_packing,
+    bit_codes, bloom_sketch, fm_index, induced_dedup, line_dedup, pfor, position_index, prefix_parse, pseudonyms, random_index, superkmers, tensor_minhash, vector_packing,
 )
 
 QUERIES = {
@@ -18,8 +18,9 @@ QUERIES = {
     "op8_bloom_fingerprints": bloom_sketch.query,
     "op9_feistel_pseudonyms": pseudonyms.query,
     "op10_quality_network": random_index.query,
+    "op11_position_index": position_index.query,
     "op12_prefix_parse": prefix_parse.query,
     "op13_bit_codes": bit_codes.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op6_deletion_line_dedup": line_dedup.SQL, "op12_prefix_parse": prefix_parse.SQL}
+ORACLE = {"op6_deletion_line_dedup": line_dedup.SQL, "op11_position_index": position_index.SQL, "op12_prefix_parse": prefix_parse.SQL}
