@@ -36,7 +36,7 @@ K, EVERY = 20, 20
 BITS, PLANES, DEVIATIONS = 256, 4, 3.0
 FIT_ROWS, CELLS, ROUNDS = 20_000, 64, 8
 #: Vectors of a shard, queries that pass it at once, and pairs that are estimated at once.
-SHARD_ROWS, QUERY_ROWS, PAIRS = 1 << 16, 2048, 1 << 18
+SHARD_ROWS, QUERY_ROWS, PAIRS = 1 << 14, 2048, 1 << 18
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:

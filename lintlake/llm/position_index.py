@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import written
+from lintlake.llm.common import partitions_of, written
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -166,7 +166,9 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = grouped.join(sizes, ["end", "key"]).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "end", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "word", "n")
-    found = dealt.groupBy("key", "end", "first", "second").applyInArrow(_near, "word string, n_near long, near string, near_n long")
+    task = ["key", "end", "first", "second"]
+    # the work of a group is far more than its bytes: tasks are not to be gathered by their size
+    found = dealt.repartition(4 * partitions_of(words.sparkSession), *task).groupBy(*task).applyInArrow(_near, "word string, n_near long, near string, near_n long")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"))
 
