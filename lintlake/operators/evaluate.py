@@ -7,11 +7,15 @@ evidence)``. A run is one ``(fixture, tier, run)``.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.scalars import TITLE_SIMILARITY, js_round, lookup, normalize_path, title_words
 from lintlake.operators.detect import c
+from lintlake.operators.graph import connected
 from lintlake.operators.positions import numbered_positions
 from lintlake.policy import SEVERITY_WEIGHTS
 from lintlake.session import cut_lineage
@@ -27,6 +31,8 @@ DIGITS = 3
 # ----------------------------------------------------------------------------------------
 
 RUN = ["fixture", "tier", "run"]
+#: Rows (of truth and of choices) that are settled at once; what is linked with more goes on in rounds.
+BLOCK_ROWS = 100_000
 SHARES = ["precision", "recall", "tool_recall", "root_cause_hit_rate", "actionability", "dedup_effectiveness"]
 
 
@@ -107,7 +113,7 @@ def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
     never get one of its first k-1 entries, so it starts at the k-th; many rows at one
     place settle in a few rounds.
     """
-    lists = numbered_positions(choices, [*RUN, "level", "key"], ["ord"], "pos").drop("ord")
+    lists = numbered_positions(choices, [*RUN, "level", "key"], ["ord", "id"], "pos").drop("ord")
     lists = cut_lineage(lists)
     columns = [*RUN, "t_ord", "keys", "level", "pos"]
 
@@ -136,10 +142,79 @@ def _match_by_proposals(rows: DataFrame, choices: DataFrame) -> DataFrame:
     return held.select(*RUN, F.col("t_ord").alias("ord"), F.col("id").alias("finding_id"), "level")
 
 
-def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def _take(table: pa.Table) -> pa.Table:
+    """Settle one block: truth rows in order take the first finding of their lists that is still there.
+
+    A finding that is gone stays gone, so each list is passed once, however many rows share it.
+    """
+    rows = table.to_pylist()
+    lists = defaultdict(list)
+    for r in rows:
+        if r["level"] is not None:
+            lists[r["level"], r["key"]].append((r["ord"], r["id"]))
+    heads = {k: iter([i for _, i in sorted(v)]) for k, v in lists.items()}
+    taken: set[str] = set()
+    out = []
+    for r in sorted((r for r in rows if r["level"] is None), key=lambda r: r["t_ord"]):
+        found = None
+        for level, key in enumerate(r["keys"], 1):
+            found = next((i for i in heads.get((level, key), ()) if i not in taken), None)
+            if found is not None:
+                taken.add(found)
+                break
+        out.append({**{k: r[k] for k in RUN}, "ord": r["t_ord"], "finding_id": found, "level": level if found is not None else None})
+    schema = pa.schema([*[table.schema.field(k) for k in RUN], ("ord", pa.int64()), ("finding_id", pa.string()), ("level", pa.int32())])
+    return pa.Table.from_pylist(out, schema)
+
+
+def _settled(both: DataFrame, keys: list[str]) -> DataFrame:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields if f.name in RUN)
+    return both.groupBy(*keys).applyInArrow(_take, f"{fields}, ord long, finding_id string, level int")
+
+
+def _by_size(both: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of blocks up to ``limit`` rows, and of larger ones."""
+    sizes = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    return tuple(both.join(sizes.where(cond), keys, "left_semi") for cond in (c.size <= limit, c.size > limit))
+
+
+def _match(rows: DataFrame, choices: DataFrame, limit: int) -> DataFrame:
+    """Blocks that share no finding are settled side by side.
+
+    A run is a block if it is small enough; otherwise its linked components are (rows are linked by their lists,
+    lists by their findings). A component that is too large for one task is settled in rounds of proposals.
+    """
+    wanted = rows.select(*RUN, F.posexplode("keys").alias("at", "key")).select(*RUN, (c.at + 1).alias("level"), "key").distinct()
+    choices = choices.join(wanted, [*RUN, "level", "key"], "left_semi")
+    both = cut_lineage(rows.unionByName(choices, allowMissingColumns=True))  # rows of truth have no level
+    small, large = _by_size(both, RUN, limit)
+    by_run = _settled(small, RUN)
+    large = cut_lineage(large)
+    if large.isEmpty():
+        return by_run
+
+    def list_node(level, key):
+        return F.concat_ws("\u0002", F.lit("list"), level, key)
+
+    own = F.transform("keys", lambda k, i: list_node(i + 1, k))
+    first = large.where(c.level.isNull()).select(*RUN, own[0].alias("a"), F.explode(own).alias("b"))
+    links = large.where(c.level.isNotNull()).select(*RUN, list_node(c.level, c.key).alias("a"), F.concat_ws("\u0002", F.lit("id"), "id").alias("b"))
+    comps = connected(first.unionByName(links), RUN)
+    node = F.when(c.level.isNull(), own[0]).otherwise(list_node(c.level, c.key))
+    large = cut_lineage(large.withColumn("node", node).join(comps, [*RUN, "node"], "left").withColumn("comp", F.coalesce("comp", "node")))
+    small, large = _by_size(large, [*RUN, "comp"], limit)
+    in_rounds = _match_by_proposals(
+        large.where(c.level.isNull()).select(*RUN, "t_ord", "keys"), large.where(c.level.isNotNull()).select(*choices.columns)
+    )
+    return by_run.unionByName(_settled(small, [*RUN, "comp"])).unionByName(in_rounds)
+
+
+def match_findings(
+    truth: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Greedy one-to-one matching: truth rows take their best remaining finding in order.
 
-    The choices of all rows come from equi joins; the rows settle in rounds of proposals.
+    The choices of all rows come from equi joins; then every block of linked rows is settled by itself.
     """
     runs = runs_of(predictions) if runs is None else runs.select(*RUN).distinct()
     base = (
@@ -152,7 +227,7 @@ def match_findings(truth: DataFrame, predictions: DataFrame, runs: DataFrame | N
         "t_ord",
         F.array(key_text(c.file, c.line), key_text(c.file, c.domain), key_text(c.domain, c.title)).alias("keys"),
     )
-    matched = _match_by_proposals(rows, _choices(base, predictions))
+    matched = _match(rows, _choices(base, predictions), block_rows)
     return (
         truth.join(runs, "fixture")
         .join(matched, [*RUN, "ord"], "left")

@@ -90,6 +90,16 @@ def test_matching_equals_greedy(spark, seed, shape):
     assert got == greedy(truth, preds)
 
 
+@pytest.mark.parametrize("block_rows", [0, 25])
+def test_components_and_rounds_equal_greedy(spark, block_rows):
+    """Runs larger than a block: components that fit are settled at once, the others in rounds."""
+    rng = random.Random(9)
+    truth, preds = random_case(rng, 24, 40, 9, 6, 8)
+    t, p = frames(spark, truth, preds)
+    got = {r.truth_id: r.finding_id for r in evaluate.match_findings(t, p, block_rows=block_rows).collect()}
+    assert got == greedy(truth, preds)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_duplicate_pairs_equal_brute_force(spark, seed):
     rng = random.Random(seed)
