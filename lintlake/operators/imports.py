@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,10 @@ RESOLVE_SUFFIXES = [".ts", ".js", "/index.ts"]
 CYCLE_EVIDENCE = 3
 # --------------------------------------------------------------------------------------
 
+#: Imports of a repository, or of a component, that are walked at once in one task.
+BLOCK_EDGES = 200_000
+MEMBERS = "repo string, scc string, node string"
+
 
 def import_specifiers(content: Column) -> Column:
     """Module specifiers in text order: quoted ones, then package imports."""
@@ -151,19 +158,135 @@ def import_edges(files: DataFrame) -> DataFrame:
 # -- cycles -----------------------------------------------------------------------------------
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot be on a cycle: from nodes nothing enters, to nodes nothing leaves."""
-    edges = cut_lineage(edges)
-    count = edges.count()
+def _members(table: pa.Table) -> pa.Table:
+    """Strong components of one small repository: two walks, forward for the order, backward for the members."""
+    repo = table.column("repo")[0].as_py()
+    ahead, back = defaultdict(list), defaultdict(list)
+    for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+        ahead[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for start in list(ahead):
+        if start in seen:
+            continue
+        seen.add(start)
+        walk = [(start, iter(ahead[start]))]
+        while walk:
+            node, rest = walk[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                order.append(node)
+                walk.pop()
+            else:
+                seen.add(step)
+                walk.append((step, iter(ahead.get(step, ()))))
+    out, placed = [], set()
+    for start in reversed(order):
+        if start in placed:
+            continue
+        group, todo = [], [start]
+        placed.add(start)
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            fresh = [x for x in back.get(node, ()) if x not in placed]
+            placed.update(fresh)
+            todo += fresh
+        if len(group) > 1 or start in ahead.get(start, ()):
+            out += [(repo, min(group), node) for node in group]
+    return pa.table({k: pa.array([r[i] for r in out], pa.string()) for i, k in enumerate(("repo", "scc", "node"))})
+
+
+def _first_cycle(table: pa.Table) -> pa.Table:
+    """A shortest cycle of one small component through its first member, breadth first; the least one of several."""
+    repo, root = table.column("repo")[0].as_py(), table.column("scc")[0].as_py()
+    ahead = defaultdict(list)
+    for a, b in sorted(zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True)):
+        ahead[a].append(b)
+    parent, layer = {}, [root]
+    while root not in parent:
+        following = []
+        for node in layer:
+            for x in ahead[node]:
+                if x not in parent:
+                    parent[x] = node
+                    following.append(x)
+        layer = following
+    trail = [parent[root]]
+    while trail[-1] != root:
+        trail.append(parent[trail[-1]])
+    trail.reverse()
+    return pa.table({
+        "repo": pa.array([repo]), "scc": pa.array([root]),
+        "cycle": pa.array([trail[:CYCLE_EVIDENCE]], pa.list_(pa.string())), "length": pa.array([len(trail)], pa.int64()),
+    })
+
+
+def _routed(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups up to ``limit`` rows, and of larger ones."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return tuple(df.join(sizes.where(cond), keys, "left_semi") for cond in (c._size <= limit, c._size > limit))
+
+
+def _rake(edges: DataFrame) -> DataFrame:
+    """Edges without those from nodes that nothing enters and to nodes that nothing leaves."""
+    entered = edges.select("repo", F.col("dst").alias("src")).distinct()
+    left = edges.select("repo", F.col("src").alias("dst")).distinct()
+    return edges.join(entered, ["repo", "src"], "left_semi").join(left, ["repo", "dst"], "left_semi")
+
+
+def _paths(edges: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """For every node with one way in and one way out: where its path ends, found by pointers that double.
+
+    ``(repo, node, to, last, least, length, head, open)``: ``to`` is the first node behind it with other ways, ``last``
+    the node before that one, ``head`` the first two nodes behind ``node``. On a ring of such nodes pointers stay
+    ``open`` and ``least`` is its least node. ``pinned`` nodes ``(repo, node)`` end a path whatever their ways are.
+    """
+    out = edges.groupBy("repo", F.col("src").alias("node")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"), F.min("length").alias("length"), F.min("head").alias("head")
+    )
+    into = edges.groupBy("repo", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("m"))
+    single = out.where((c.n == 1) & (c.to != c.node)).join(into.where(c.m == 1), ["repo", "node"])
+    if pinned is not None:
+        single = single.join(pinned, ["repo", "node"], "left_anti")
+    now = single.select("repo", "node", "to", F.col("node").alias("last"), F.col("node").alias("least"), "length", "head")
+    now = cut_lineage(now.withColumn("open", F.lit(True)))
+    state = None
     while True:
-        kept = edges.join(
-            edges.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi"
-        ).join(edges.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi")
-        kept = cut_lineage(kept.select("repo", "src", "dst"))
-        left = kept.count()
-        if left == count or left == 0:
-            return kept
-        edges, count = kept, left
+        then = now.select("repo", F.col("node").alias("to"), *[F.col(k).alias(f"_{k}") for k in ("to", "last", "least", "length", "head", "open")])
+        now = cut_lineage(
+            now.join(then, ["repo", "to"], "left").select(
+                "repo", "node", F.coalesce("_to", "to").alias("to"), F.coalesce("_last", "last").alias("last"), F.least("least", "_least").alias("least"),
+                (c.length + F.coalesce("_length", F.lit(0))).alias("length"),
+                F.when(c._head.isNull(), c.head).otherwise(F.slice(F.concat("head", "_head"), 1, CYCLE_EVIDENCE - 1)).alias("head"),
+                F.coalesce("_open", F.lit(False)).alias("open"),
+            )
+        )
+        # a ring is done when its least node is known all around: one more doubling changes nothing
+        before, state = state, tuple(now.where("open").agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo", "least").cast("decimal(38,0)"))).first())
+        if not state[0] or state == before:
+            return now
+
+
+def _contract(edges: DataFrame, pinned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges with every path as one edge, and the paths: ``(repo, node, a, b, ring)``, ``ring`` the least node of a closed one."""
+    paths = _paths(edges, pinned)
+    inner = paths.select("repo", "node")
+    plain = edges.join(inner.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
+    direct = plain.join(inner.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti").select(*edges.columns)
+    behind = paths.where("not open").select("repo", F.col("node").alias("dst"), "to", "last", F.col("length").alias("_length"), F.col("head").alias("_head"))
+    entering = plain.join(behind, ["repo", "dst"]).select(
+        "repo", "src", F.col("to").alias("dst"), (c.length + c._length).alias("length"),
+        F.slice(F.concat("head", "_head"), 1, CYCLE_EVIDENCE - 1).alias("head"), "last",
+    )
+    merged = direct.unionByName(entering.drop("last")).groupBy("repo", "src", "dst").agg(F.min(F.struct("length", "head")).alias("way"))
+    spans = entering.select("repo", "last", F.col("src").alias("a"), F.col("dst").alias("b"))
+    placed = paths.join(spans, ["repo", "last"], "left").select("repo", "node", "a", "b", F.when(c.open, c.least).alias("ring"))
+    return cut_lineage(merged.select("repo", "src", "dst", "way.length", "way.head")), cut_lineage(placed)
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("length", F.lit(1).cast("long")).withColumn("head", F.array("dst"))
 
 
 def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,18 +309,48 @@ def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """Members of all strongly connected components ``(repo, scc, node)`` that contain a cycle.
+def strong_components(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """Members of all strongly connected components ``(repo, scc, node)`` that contain a cycle; ``scc`` is the least.
 
-    Rounds of: trim, spread the least node forward, then walk backward inside each color
-    from the node that gave it its name. What is reached from both sides is a component;
-    it leaves the graph and the next round looks at the rest. Every step is a join on
-    (repo, node), so neither a repository nor a component has to fit in one task.
+    A repository of up to ``block_edges`` imports is walked at once. A larger one is shrunk first: dead ends are raked
+    off and paths become single edges, alternately, so trees, chains and rings of any length are gone after a number
+    of rounds that grows with their logarithm; what is left goes on in :func:`_core`, and paths whose two ends
+    are in one component join it.
+    """
+    edges = cut_lineage(edges.select("repo", "src", "dst").where(c.src.isNotNull() & c.dst.isNotNull()).distinct())
+    small, large = _routed(edges, ["repo"], block_edges)
+    found = small.groupBy("repo").applyInArrow(_members, MEMBERS)
+    rest = cut_lineage(large)
+    if rest.isEmpty():
+        return found
+    rest, levels = _weighted(rest), []
+    while True:
+        size = rest.count()
+        rest = cut_lineage(_rake(rest).select("repo", "src", "dst", "length", "head"))
+        rest, placed = _contract(rest)
+        levels.append(placed)
+        if rest.count() == size:
+            break
+    grown = cut_lineage(_core(rest.select("repo", "src", "dst")))
+    for placed in reversed(levels):
+        ends = [grown.select("repo", F.col("node").alias(x), F.col("scc").alias(f"_{x}")) for x in ("a", "b")]
+        between = placed.where("ring is null").join(ends[0], ["repo", "a"]).join(ends[1], ["repo", "b"]).where("_a = _b")
+        rings = placed.where("ring is not null").select("repo", F.col("ring").alias("scc"), "node")
+        grown = cut_lineage(grown.unionByName(between.select("repo", F.col("_a").alias("scc"), "node")).unionByName(rings))
+    least = grown.groupBy("repo", "scc").agg(F.min("node").alias("_least"))
+    return found.unionByName(grown.join(least, ["repo", "scc"]).select("repo", F.col("_least").alias("scc"), "node"))
+
+
+def _core(rest: DataFrame) -> DataFrame:
+    """Components of what can't be shrunk.
+
+    Rounds of: spread the least node forward, then walk backward inside each color from the node that gave it its
+    name. What is reached from both sides is a component; it leaves the graph and the next round looks at the rest.
+    Every step is a join on (repo, node), so neither a repository nor a component has to fit in one task.
     """
-    found_parts = []
-    rest = _trim(edges.select("repo", "src", "dst").distinct())
-    while rest.limit(1).count():
-        nodes = rest.select("repo", F.col("src").alias("node")).distinct()
+    found = cut_lineage(rest.select("repo", F.col("src").alias("scc"), F.col("dst").alias("node")).where(F.lit(False)))
+    while not rest.isEmpty():
+        nodes = rest.select("repo", F.col("src").alias("node")).unionByName(rest.select("repo", F.col("dst").alias("node"))).distinct()
         colored = _spread(nodes.withColumn("label", c.node), rest)
         inside = (
             rest.join(colored.select("repo", F.col("node").alias("src"), F.col("label").alias("a")), ["repo", "src"])
@@ -211,28 +364,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
             back = inside.select("repo", F.col("dst").alias("node"), "src", F.col("color").alias("scc"))
             step = frontier.join(back, ["repo", "node", "scc"]).select("repo", F.col("src").alias("node"), "scc").distinct()
             frontier = cut_lineage(step.join(reached, ["repo", "node", "scc"], "left_anti"))
-            if not frontier.limit(1).count():
+            if frontier.isEmpty():
                 break
             reached = cut_lineage(reached.unionByName(frontier))
         sizes = reached.groupBy("repo", "scc").agg(F.count(F.lit(1)).alias("n"))
         loops = rest.where(c.src == c.dst).select("repo", F.col("src").alias("scc")).distinct().withColumn("loop", F.lit(True))
         kept = reached.join(sizes, ["repo", "scc"]).join(loops, ["repo", "scc"], "left").where((c.n > 1) | c.loop)
-        found_parts.append(kept.select("repo", "scc", "node"))
+        found = cut_lineage(found.unionByName(kept.select("repo", "scc", "node")))
         gone = reached.select("repo", F.col("node").alias("src"))
         gone_to = reached.select("repo", F.col("node").alias("dst"))
-        rest = _trim(rest.join(gone, ["repo", "src"], "left_anti").join(gone_to, ["repo", "dst"], "left_anti"))
-    if not found_parts:
-        return edges.select("repo", F.col("src").alias("scc"), F.col("dst").alias("node")).where(F.lit(False))
-    out = found_parts[0]
-    for part in found_parts[1:]:
-        out = out.unionByName(part)
-    return out
+        rest = cut_lineage(_rake(rest.join(gone, ["repo", "src"], "left_anti").join(gone_to, ["repo", "dst"], "left_anti")).select("repo", "src", "dst"))
+    return found
 
 
-def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """A shortest cycle through the first member of each component, as the array ``cycle``.
+def shortest_cycles(edges: DataFrame, components: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """Length and first members ``(repo, scc, cycle, length)`` of a shortest cycle through the first member of each component.
 
-    Breadth-first from that member; a node is kept once, with the least path to it.
+    A component of up to ``block_edges`` imports is walked at once. In a larger one paths become single edges first;
+    then the least distance from the first member spreads along them, with the first nodes of the way there.
     """
     members = cut_lineage(components)
     m_src = members.select("repo", F.col("scc"), F.col("node").alias("src"))
@@ -240,28 +389,30 @@ def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     inner = cut_lineage(
         edges.select("repo", "src", "dst").distinct().join(m_src, ["repo", "src"]).join(m_dst, ["repo", "scc", "dst"])
     )
-    frontier = members.where(c.scc == c.node).select("repo", "scc", "node", F.array("node").alias("trail"))
-    seen, done = members.where(F.lit(False)).select("repo", "scc", "node"), []
+    small, large = _routed(inner, ["repo", "scc"], block_edges)
+    found = small.groupBy("repo", "scc").applyInArrow(_first_cycle, "repo string, scc string, cycle array<string>, length long")
+    rest = cut_lineage(large)
+    if rest.isEmpty():
+        return found
+    roots = rest.select("repo", "scc").distinct()
+    ways, _ = _contract(_weighted(rest.select("repo", "src", "dst")), roots.select("repo", F.col("scc").alias("node")))
+    ways = cut_lineage(ways.join(m_src, ["repo", "src"]))
+    frontier = roots.select("repo", "scc", F.col("scc").alias("node"), F.lit(0).cast("long").alias("length"), F.array().cast("array<string>").alias("head"))
+    known = cut_lineage(frontier.where(F.lit(False)))
     while True:
-        step = (
-            frontier.join(inner.withColumnRenamed("src", "node"), ["repo", "scc", "node"])
-            .groupBy("repo", "scc", F.col("dst").alias("node"))
-            .agg(F.min("trail").alias("trail"))
-        )
-        step = cut_lineage(step)
-        done.append(step.where(c.node == c.scc).select("repo", "scc", F.col("trail").alias("cycle")))
-        closed = done[-1].select("repo", "scc")
-        ahead = step.join(closed, ["repo", "scc"], "left_anti").join(seen, ["repo", "scc", "node"], "left_anti")
-        frontier = cut_lineage(
-            ahead.select("repo", "scc", "node", F.concat("trail", F.array("node")).alias("trail"))
+        step = frontier.select("repo", "scc", F.col("node").alias("src"), F.col("length").alias("_l"), F.col("head").alias("_h")).join(ways, ["repo", "scc", "src"])
+        step = step.select(
+            "repo", "scc", F.col("dst").alias("node"), (c._l + c.length).alias("length"), F.slice(F.concat("_h", "head"), 1, CYCLE_EVIDENCE - 1).alias("head"), F.lit(True).alias("new")
         )
-        if not frontier.limit(1).count():
+        ranked = known.withColumn("new", F.lit(False)).unionByName(step).groupBy("repo", "scc", "node").agg(F.min(F.struct("length", "head", "new")).alias("way"))
+        state = cut_lineage(ranked.select("repo", "scc", "node", "way.*"))
+        known = state.drop("new")
+        frontier = state.where("new and node != scc").drop("new")
+        if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier.select("repo", "scc", "node")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    closed = known.where(c.node == c.scc)
+    cycle = F.slice(F.concat(F.array("scc"), "head"), F.lit(1), F.least(c.length, F.lit(CYCLE_EVIDENCE)).cast("int"))
+    return found.unionByName(closed.select("repo", "scc", cycle.alias("cycle"), "length"))
 
 
 def circular_dependencies(edges: DataFrame) -> DataFrame:
@@ -273,7 +424,7 @@ def circular_dependencies(edges: DataFrame) -> DataFrame:
         cycles,
         finding(
             "no-circular-dependency", "high", text("Import cycle: ", c.scc, " → … → ", c.scc),
-            F.transform(F.slice("cycle", 1, CYCLE_EVIDENCE), lambda f: place(f)),
+            F.transform("cycle", lambda f: place(f)),
         ),
     )
 

@@ -135,22 +135,42 @@ def components(edges):
         sorted({(f"n{random.Random(7 * i).randrange(9)}", f"n{random.Random(11 * i + 1).randrange(9)}") for i in range(14)}),
     ],
 )
-def test_strong_components(spark, edges):
+@pytest.mark.parametrize("block", [imports.BLOCK_EDGES, 0])
+def test_strong_components(spark, edges, block):
     df = spark.createDataFrame([("r", s, d) for s, d in edges], "repo string, src string, dst string")
     got = {}
-    for r in imports.strong_components(df).collect():
+    for r in imports.strong_components(df, block).collect():
         got.setdefault(r.scc, set()).add(r.node)
     assert {frozenset(v) for v in got.values()} == components(edges)
+    assert all(scc == min(v) for scc, v in got.items())
     for r in imports.circular_dependencies(df).collect():
         places = [e.file for e in r.evidence]
         assert places[0] in got and len(places) <= 3
 
 
-def test_shortest_cycle_is_shortest(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "a")]
+@pytest.mark.parametrize("block", [imports.BLOCK_EDGES, 0])
+def test_shortest_cycle_is_shortest(spark, block):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "a"), ("k", "k"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t"), ("t", "p"), ("r", "x"), ("x", "s")]
     df = spark.createDataFrame([("r", s, d) for s, d in edges], "repo string, src string, dst string")
-    cycles = imports.shortest_cycles(df, imports.strong_components(df)).collect()
-    assert [list(r.cycle) for r in cycles] == [["a", "b"]]
+    cycles = imports.shortest_cycles(df, imports.strong_components(df), block).collect()
+    assert {r.scc: (list(r.cycle), r.length) for r in cycles} == {"a": (["a", "b"], 2), "k": (["k"], 1), "p": (["p", "q", "r"], 5)}
+
+
+def test_long_chain_and_ring_in_few_rounds(spark, monkeypatch):
+    """A repository too large for one task: rounds grow with the logarithm of its longest path."""
+    n, rounds = 10_000, []
+    plain = imports.cut_lineage
+    monkeypatch.setattr(imports, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    node = "concat('{0}', lpad(cast({1} as string), 6, '0'))"
+    chain = spark.range(n).selectExpr("'r' AS repo", f"{node.format('c', 'id')} AS src", f"{node.format('c', 'id + 1')} AS dst")
+    ring = spark.range(n).selectExpr("'r' AS repo", f"{node.format('o', 'id')} AS src", f"{node.format('o', f'(id + 1) % {n}')} AS dst")
+    edges = chain.unionByName(ring)
+    found = plain(imports.strong_components(edges, 0))
+    assert found.count() == n
+    assert found.selectExpr("min(scc)", "max(scc)", "min(node)", "max(node)").collect()[0][:] == ("o000000", "o000000", "o000000", f"o{n - 1:06}")
+    cycle = imports.shortest_cycles(edges, found, 0).collect()
+    assert [(list(r.cycle), r.length) for r in cycle] == [(["o000000", "o000001", "o000002"], n)]
+    assert len(rounds) < 80  # tables written by both, two or three a round
 
 
 def test_dead_exports_equal_substring_search(spark, files_of):
