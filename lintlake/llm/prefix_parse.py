@@ -7,7 +7,7 @@ bucket and equal ones of a task once with their number; a bucket's distinct chun
 dictionary, which is written to the shared folder. An n-gram is counted inside each distinct chunk, weighted by
 its frequency; those that start in the last ``overlap`` words belong to the next chunk, which begins there.
 
-A bucket sends each of its n-grams once, as 96 bits of a digest and a count, to the partition of the digest. Those
+A task sends each n-gram of its buckets once, as 96 bits of a digest and a count, to the partition of the digest. Those
 that reach ``min_count`` there are answered to one bucket that has them, which looks up their words, so strings
 travel only for phrases that can matter: a part of a candidate is at least as frequent as the candidate. Scores,
 drops and ranks are joins of that table of frequent phrases. Products are decimals of 38 digits.
@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import packed, partitions_of, small_batches, unpacked, written
-from lintlake.llm.text_arrays import BASE, BASE_2, LOWER, Sums, chunks, mix, ngrams, ranges, split, texts_of
+from lintlake.llm.text_arrays import BASE, BASE_2, CHUNK_BYTES, LOWER, Sums, chunks, give_back, mix, ngrams, ranges, split, texts_of
 
 MAX_WORDS, MIN_COUNT, DROP_PERCENT, TOP = 3, 10, 50, 2000
 #: One in so many places ends a chunk.
 RARITY = 16
-SEND_BYTES = 16 << 20
+SEND_BYTES, SEND_GRAMS = 16 << 20, 1 << 21
 BUCKETS_PER_PARTITION = 4
 UNKNOWN = "und"
 
@@ -159,10 +159,12 @@ def _by_bucket(batches: Iterable[pa.RecordBatch], work) -> Iterator[pa.RecordBat
             if b != bucket and held:
                 yield from work(bucket, held)
                 held = []
+                give_back()
             bucket = b
             held.append(tuple(c[i].as_py() for c in batch.columns[1:]))
     if held:
         yield from work(bucket, held)
+    give_back()
 
 
 def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,7 @@ def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _by_bucket(batches, work)
 
 
-def grams_of(entry: bytes, max_words: int, slice_bytes: int = 4 << 20):
+def grams_of(entry: bytes, max_words: int, slice_bytes: int = CHUNK_BYTES):
     """The n-grams of a bucket's dictionary, some chunks at a time: digests, counts, langs, bytes and places."""
     names, lang, final, count, strings = unpacked(entry)
     salt = _lang_hashes(names)
@@ -216,20 +218,31 @@ def unplaned(body: bytes, n: int) -> np.ndarray:
 
 
 def _count(max_words: int, parts: int):
-    """Digests and counts of the n-grams of each bucket, packed by the range of the digest."""
+    """Digests and counts of the n-grams of a task's buckets, equal ones once, packed by the range of the digest."""
+
+    def out(held):
+        one, two, count, source = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, count = _distinct([one, two], count)
+        one, two, source = one[at], two[at], source[at]
+        cuts = np.searchsorted(one, range_starts(parts))
+        rows = [(p, packed((planes(one[lo:hi]), two[lo:hi], count[lo:hi], source[lo:hi]))) for p, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(one)], strict=True)) if hi > lo]
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary()))], ["part", "packed"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for bucket, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two, count = (np.concatenate(x) for x in zip(*(g[1:4] for g in grams_of(entry, max_words)), strict=True))
-                at, count = _distinct([one, two], count)
-                one, two = one[at], two[at]
-                cuts = np.searchsorted(one, range_starts(parts))
-                rows = []
-                for p, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(one)], strict=True)):
-                    if hi > lo:
-                        rows.append((p, bucket, packed((planes(one[lo:hi]), two[lo:hi], count[lo:hi].astype(np.int64)))))
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "bucket", "packed"])
+            for bucket, entry in zip(*batch.columns, strict=True):
+                for _, one, two, count, *_ in grams_of(entry.as_py(), max_words):
+                    at, count = _distinct([one, two], count)
+                    held.append((one[at], two[at], count, np.full(len(at), bucket.as_py(), np.int32)))
+                    size += len(at)
+                if size >= SEND_GRAMS:
+                    yield out(held)
+                    held, size = [], 0
+                    give_back()
+        if held:
+            yield out(held)
+        give_back()
 
     return run
 
@@ -243,12 +256,12 @@ def _frequent(min_count: int):
 
     def work(part, rows):
         digests, low, counts, source = [], [], [], []
-        for bucket, body in rows:
-            (plane, n), two, count = unpacked(body)
+        for (body,) in rows:
+            (plane, n), two, count, bucket = unpacked(body)
             digests.append(unplaned(plane, n))
             low.append(two)
             counts.append(count)
-            source.append(np.full(n, bucket, np.int32))
+            source.append(bucket)
         one, two, count, source = (np.concatenate(x) for x in (digests, low, counts, source))
         at, count = _distinct([one, two], count)
         keep = count >= min_count
@@ -315,7 +328,7 @@ def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     rows = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs["lang"].cast("string").alias("lang"))
     sent = rows.mapInArrow(_send(max_words - 1, n * BUCKETS_PER_PARTITION), "bucket int, packed binary")
     dictionary = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_dictionary, "bucket int, packed binary"))
-    counted = dictionary.mapInArrow(_count(max_words, n * BUCKETS_PER_PARTITION), "part int, bucket int, packed binary")
+    counted = dictionary.mapInArrow(_count(max_words, n), "part int, packed binary")
     answers = counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequent(min_count), "bucket int, kind int, packed binary")
     asked = dictionary.select("bucket", F.lit(0).alias("kind"), "packed").unionByName(answers)
     return asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_phrases(max_words), "lang string, phrase string, words int, f long")
