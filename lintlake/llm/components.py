@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import written
 
 
-def _state(edges: DataFrame):
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _step(edges: DataFrame) -> DataFrame:
+    """Every node links its greater neighbours, then its lesser ones, to the least of them."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select("a", "b", "m")
+    return small.select("a", F.col("m").alias("b")).union(small.where("b != m").select("b", "m")).distinct()
+
+
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and digest, seen while they are written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest"))
+    return written(counted), tuple(seen.get.values())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,17 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; without edges there are no rows. Both steps keep the edges of a
     node in one star around its least neighbour, so the number of rows never exceeds that of the edges.
     """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(now)
+    now, state = _kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while state[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("a", "b", "m")
-        now = written(small.select("a", F.col("m").alias("b")).union(small.where("b != m").select("b", "m")).distinct())
-        before, state = state, _state(now)
-        if state == before:
+        now, after = _kept(_step(now))
+        if after == state:
             break
+        state = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sketch.where("n > 0").groupBy(*equal).agg(F.min(F.struct("id", "tk", "at")).alias("own"))
     classes = written(classes.select(*equal, "own.*", F.monotonically_increasing_id().alias("node")))  # written, so numbers stay
     alone = sketch.where("n = 0").select("id", "tk", F.col("n").alias("n_shingles"), own_key)  # empty sets aren't equal to one another
-    members = written(sketch.where("n > 0").select("id", "tk", *equal).join(classes.select(*equal, "node"), equal).select("id", "tk", F.col("n").alias("n_shingles"), "node"))
+    members = sketch.where("n > 0").select("id", "tk", *equal).join(classes.select(*equal, "node"), equal).select("id", "tk", F.col("n").alias("n_shingles"), "node")
 
     first = sketch.select("at", "n", "low", "halves").join(classes.select("at", "node"), "at")
     halves = first.select("node", F.posexplode("halves").alias("pos", "h")).select("node", "h", (F.col("pos") >= HALVES).cast("int").alias("side"))

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lintlake.llm.text_arrays import chunks, ranges
+from lintlake.llm.text_arrays import chunks, give_back, ranges
 
 #: The split pattern of byte-level pre-tokenizers. No two alternatives but the second and fourth begin alike,
 #: so letters, the most frequent, are tried first.
@@ -50,7 +50,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = False, kept: int = KEPT_PIECES):
         import regex
         from tokenizers import Tokenizer
 
@@ -65,7 +65,7 @@ class Encoder:
         self.split = regex.compile(PIECES).findall
         tokens = [t["content"] for t in kind["added_tokens"] if added or not t["special"]]
         self.whole = regex.compile("|".join(map(regex.escape, tokens))).search if tokens else None
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.pieces, self.kept = _Pieces(self.tokenizer.model), kept
 
     def __call__(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (each followed by ``end``), and where each text's ids begin (one more than texts)."""
@@ -83,7 +83,7 @@ class Encoder:
         return out, first
 
     def _by_piece(self, texts):
-        if len(self.pieces) > KEPT_PIECES:
+        if len(self.pieces) > self.kept:
             self.pieces = _Pieces(self.tokenizer.model)
         number = self.pieces.__getitem__
         found, whole = [], {}
@@ -113,15 +113,17 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary: what it has learnt serves later tasks too."""
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
+    """One encoder per worker and vocabulary: what it has learnt, up to ``kept`` pieces, serves later tasks too."""
     if path not in _encoders:
         _encoders[path] = Encoder(path, added=True)
+    _encoders[path].kept = kept
     return _encoders[path]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, limit: int, kept: int = KEPT_PIECES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Some rows at a time, with the ids of their texts."""
-    encode = encoder(path)
+    give_back()  # a worker that has served other operators brings their memory along
+    encode = encoder(path, kept)
     for batch in chunks(batches, limit=limit):
         yield batch, *encode(batch.column("text").to_pylist())

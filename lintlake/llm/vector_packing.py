@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import doc_id_of, key_columns, written
-from lintlake.llm.tokens import encoded
+from lintlake.llm.tokens import KEPT_PIECES, encoded
 
 ENCODE_BYTES = 1 << 20
 BATCH_DOCS, BATCH_IDS = 4096, 4 << 20
@@ -91,7 +91,7 @@ def pack(sizes: np.ndarray, loss_from: np.ndarray, limits: Limits) -> np.ndarray
 PIECES = "part int, id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
 
-def _pack(path: str, limits: Limits):
+def _pack(path: str, limits: Limits, kept: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sequences = TaskContext.get().partitionId(), 0
         held, docs, size = [], 0, 0
@@ -111,7 +111,7 @@ def _pack(path: str, limits: Limits):
             names = ["part", "id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset"]
             return pa.record_batch([pa.array(c) for c in columns], names), int(sequence.max()) + 1
 
-        for batch, ids, first in encoded(batches, path, ENCODE_BYTES):
+        for batch, ids, first in encoded(batches, path, ENCODE_BYTES, kept):
             held.append((batch.column("id").to_numpy(zero_copy_only=False), ids, first, batch.column("loss").to_numpy(zero_copy_only=False)))
             docs, size = docs + batch.num_rows, size + len(ids)
             if docs >= BATCH_DOCS or size >= BATCH_IDS:
@@ -124,11 +124,14 @@ def _pack(path: str, limits: Limits):
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), loss=None) -> DataFrame:
-    """One row per piece; ``loss`` may be a column: how many of a document's last tokens bear loss."""
+def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), loss=None, kept: int = KEPT_PIECES) -> DataFrame:
+    """One row per piece; ``loss`` may be a column: how many of a document's last tokens bear loss.
+
+    A worker keeps the ids of up to ``kept`` pieces of text; fewer take less memory and more time.
+    """
     key = key_columns(docs)
     source = docs.select(key["id"].alias("id"), key["text"].alias("text"), (F.lit(-1) if loss is None else loss).cast("long").alias("loss"))
-    pieces = written(source.mapInArrow(_pack(vocabulary, limits), PIECES))
+    pieces = written(source.mapInArrow(_pack(vocabulary, limits, kept), PIECES))
     # one row per task
     counts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
