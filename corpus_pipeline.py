@@ -16,6 +16,8 @@ from lintlake.llm import fm_index, line_dedup, random_index, tensor_minhash, vec
 from lintlake.session import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Fewer than packing alone keeps: the executors have run four stages before.
+KEPT_PIECES = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 tokens."""
-    return vector_packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    return vector_packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), kept=KEPT_PIECES)
 
 
 STAGES = [
