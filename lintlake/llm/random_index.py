@@ -251,18 +251,26 @@ def _score(vectors, network: Network, column: int, schema: pa.Schema):
 SCORE = "__quality_score"
 
 
+def score_name(docs: DataFrame) -> str:
+    """:data:`SCORE`, or a longer name if the table has that one."""
+    taken, name = {c.lower() for c in docs.columns}, SCORE
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the probability of label 1 in the column :data:`SCORE`."""
+    """``docs`` with the probability of label 1 in a last column, named by :func:`score_name`."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_name(docs), T.DoubleType())])
     return docs.mapInArrow(_score(model.vectors, model.network, docs.columns.index("text"), to_arrow_schema(schema)), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    return scored(docs, learn(docs, labels)).where(F.col(SCORE) >= threshold).select(*docs.columns)
+    return scored(docs, learn(docs, labels)).where(F.col(score_name(docs)) >= threshold).drop(score_name(docs))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

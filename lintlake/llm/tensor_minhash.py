@@ -223,12 +223,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the least doc_id, once."""
-    names = {"id": "_llm_id", "tk": "_llm_tk"}
     key = key_columns(docs)
-    rows = docs.withColumns({own: key[c] for c, own in names.items()})
-    kept = near_duplicates(docs).where(F.col("least") == F.struct("id", "tk")).select(*[F.col(c).alias(names[c]) for c in ("id", "tk")]).distinct()
-    once = Window.partitionBy(*names.values()).orderBy(F.lit(0))  # rows that repeat doc_id and text
-    return rows.join(kept, list(names.values()), "left_semi").withColumn("_llm_at", F.row_number().over(once)).where("_llm_at = 1").select(*docs.columns)
+    rows = docs.select(key["id"].alias("id"), key["tk"].alias("tk"), F.struct("*").alias("row"))  # no name of the table can clash
+    kept = near_duplicates(docs).where(F.col("least") == F.struct("id", "tk")).select("id", "tk").distinct()
+    once = Window.partitionBy("id", "tk").orderBy(F.lit(0))  # rows that repeat doc_id and text
+    return rows.join(kept, ["id", "tk"], "left_semi").withColumn("at", F.row_number().over(once)).where("at = 1").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

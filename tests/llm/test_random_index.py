@@ -60,3 +60,11 @@ def test_temperature_calibrates():
     for lo in (0.0, 0.25, 0.5, 0.75):
         m = (p >= lo) & (p < lo + 0.25)
         assert abs(p[m].mean() - y[left_out][m].mean()) < 0.08
+
+
+def test_clashing_score_column(spark, docs_of):
+    docs = docs_of({i: "good words here" for i in range(6)}, __quality_score="double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = ri.accepted(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == 6

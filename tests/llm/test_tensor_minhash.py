@@ -112,3 +112,10 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_columns_stay(spark, docs_of):
+    docs = docs_of({1: "one two three four five six", 2: "one two three four five six", 3: "x"}, id="string", tk="int", at="long", row="string", _llm_id="string", node="int")
+    kept = tensor_minhash.keep_first(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
