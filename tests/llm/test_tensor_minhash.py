@@ -108,10 +108,17 @@ def test_empty_table(docs_of):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (7, 7), (103, 100)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    edges = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (7, 7), (103, 100), (100, 105)]
+    rng = np.random.default_rng(6)  # a path whose nodes are in no order, and a star whose centre is the greatest
+    path = [int(i) for i in 200 + rng.permutation(300)]
+    edges += [*zip(path[:-1], path[1:], strict=True), *((1000, 900 + i) for i in range(50))]
+    want = {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100} | {i: 200 for i in path} | {i: 900 for i in (*range(900, 950), 1000)}
+    table = spark.createDataFrame(edges, "a long, b long")
+    for one_task in (len(edges), 10, 0):  # in one task, and in rounds
+        rows = components(table, one_task).collect()
+        assert {r.node: r.comp for r in rows} == want and len(rows) == len(want)
+    for one_task in (10, 0):
+        assert components(spark.createDataFrame([], "a long, b long"), one_task).collect() == []
 
 
 def test_clashing_columns_stay(spark, docs_of):
