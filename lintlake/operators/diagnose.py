@@ -350,9 +350,9 @@ def remediation_plan(prioritized: DataFrame, overall: DataFrame) -> DataFrame:
     urgent = F.concat(
         n.cast("string"), F.lit(" cluster"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")),
         F.lit(" to solve first, above all "), F.col("top_category"),
-        F.lit(". They lift the score from "), number_text(F.col("current_score")),
-        F.lit(" to ~"), number_text(now), F.lit(" (+"), number_text(gain),
-        F.lit(" pts). Fixing everything brings it to ~"), number_text(after), F.lit("."),
+        F.lit(". Score now "), number_text(F.col("current_score")),
+        F.lit(", after these "), number_text(now), F.lit(" ("), number_text(gain),
+        F.lit(" more), with no cluster left "), number_text(after), F.lit("."),
     )
     return plan.withColumn("summary", F.when(n == 0, quiet).otherwise(urgent))
 

@@ -78,8 +78,12 @@ def validate_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assign_ids(findings: DataFrame, prefix: str, start: int = 1, keys=("repo",), order=None) -> DataFrame:
-    """Sequential ids per repository: ``SEC-001`` and on, longer numbers keep all digits."""
-    order = order or [primary_file(""), primary_line(0), "rule"]
+    """Sequential ids per repository: ``SEC-001`` and on, longer numbers keep all digits.
+
+    Findings that share file, line and rule follow severity, snippet and title; those that share all of it are the same.
+    """
+    snippet = F.coalesce(F.get("evidence", F.lit(0))["snippet"], F.lit(""))
+    order = order or [primary_file(""), primary_line(0), "rule", "severity", snippet, "title"]
     numbered = numbered_positions(findings, list(keys), order, "_n")
     number = (F.col("_n") + F.lit(start - 1)).cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)

@@ -334,9 +334,9 @@ ORACLE = {
         f"""SELECT *, CASE WHEN fix_now_count = 0 THEN 'Nothing urgent; the score is ' || {num("current_score")}
               || '; with every cluster solved it would be ' || {num("score_after_all")} || '.'
             ELSE fix_now_count || ' cluster' || CASE WHEN fix_now_count > 1 THEN 's' ELSE '' END
-              || ' to solve first, above all ' || top_category || '. They lift the score from '
-              || {num("current_score")} || ' to ~' || {num("score_after_fix_now")} || ' (+'
-              || {num("floor((score_after_fix_now - current_score) * 10 + 0.5) / 10")} || ' pts). Fixing everything brings it to ~'
+              || ' to solve first, above all ' || top_category || '. Score now '
+              || {num("current_score")} || ', after these ' || {num("score_after_fix_now")} || ' ('
+              || {num("floor((score_after_fix_now - current_score) * 10 + 0.5) / 10")} || ' more), with no cluster left '
               || {num("score_after_all")} || '.' END AS summary FROM pl""",
     ),
     "remediation_rows": q(

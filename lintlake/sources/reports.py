@@ -15,7 +15,6 @@ from lintlake.functions.scalars import NPM_SEVERITY, SEMGREP_SEVERITY, format_by
 from lintlake.functions.text import found
 from lintlake.operators.detect import c, emit, finding, graded, one, text
 from lintlake.policy import DEFAULT_POLICY, Policy
-from lintlake.session import cut_lineage
 
 # --- Fixed values: report places, schemas, limits ---------------------------------------
 NPM_AUDIT, SEMGREP = ["npm-audit.json"], ["semgrep.json"]
@@ -203,42 +202,62 @@ def junit_failures(files: DataFrame) -> DataFrame:
     )
 
 
+_SUITE = "struct<suite: string, s: variant>"
+
+
+def _variants(value: Column, key: str) -> Column:
+    """The list under ``key``, empty where there is none."""
+    return F.coalesce(F.try_variant_get(value, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _suites(value: Column, parent: Column | None = None) -> Column:
+    """The suites right below ``value``, named with their parents."""
+
+    def named(s: Column) -> Column:
+        title = F.coalesce(F.try_variant_get(s, "$.title", "string"), F.lit("undefined"))
+        suite = title if parent is None else F.concat(parent, F.lit(" > "), title)
+        return F.struct(suite.alias("suite"), s.alias("s"))
+
+    return F.transform(_variants(value, "suites"), named)
+
+
+def _all_suites(report: Column, content: Column) -> Column:
+    """Suites of every level of a report, level by level.
+
+    A level lies in a list of its own, so the opening brackets of the text bound the number of levels; steps behind
+    the last level leave the state as it is.
+    """
+    none = F.array().cast(f"array<{_SUITE}>")
+    brackets = F.length(content) - F.length(F.replace(content, F.lit("["), F.lit("")))
+    deeper = F.aggregate(
+        F.array_repeat(F.lit(True), brackets),
+        F.struct(none.alias("above"), _suites(report).alias("level")),
+        lambda state, _: F.when(F.size(state["level"]) == 0, state).otherwise(
+            F.struct(
+                F.concat(state["above"], state["level"]).alias("above"),
+                F.flatten(F.transform(state["level"], lambda x: _suites(x["s"], x["suite"]))).alias("level"),
+            )
+        ),
+    )
+    return deeper["above"]
+
+
 def playwright_tests(files: DataFrame) -> DataFrame:
     """All tests ``(repo, path, suite, title, statuses)``; suites nest to any depth.
 
-    One step per nesting level: the suites of a level give their tests and the next
-    level. The number of steps is the depth of the deepest report.
+    The levels of a report are folded inside its row, so one query reads all of them.
     """
     parsed = files.where(c.path.isin(PLAYWRIGHT)).select("repo", "path", "content")
     parsed = parsed.where(F.try_parse_json("content").isNotNull())
-    reports = first_of(parsed, PLAYWRIGHT).select("repo", "path", F.parse_json("content").alias("v"))
-
-    def children(v: Column, key: str) -> Column:
-        return F.explode(F.try_variant_get(v, f"$.{key}", "array<variant>"))
-
-    level = reports.select("repo", "path", F.lit("").alias("parent"), children(c.v, "suites").alias("s"))
-    levels = []
-    while True:
-        title = F.coalesce(F.try_variant_get(c.s, "$.title", "string"), F.lit("undefined"))
-        suite = F.when(c.parent != "", F.concat(c.parent, F.lit(" > "), title)).otherwise(title)
-        level = cut_lineage(
-            level.select("repo", "path", suite.alias("suite"), F.to_json("s").alias("j"))
-        ).select("repo", "path", "suite", F.parse_json("j").alias("s"))
-        if not level.limit(1).count():
-            break
-        levels.append(level)
-        level = level.select("repo", "path", c.suite.alias("parent"), children(c.s, "suites").alias("s"))
-    every = level if not levels else levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
-    tests = every.select("repo", "path", "suite", children(c.s, "tests").alias("t"))
-    results = F.coalesce(F.try_variant_get(c.t, "$.results", "array<variant>"), F.array().cast("array<variant>"))
+    reports = first_of(parsed, PLAYWRIGHT).select("repo", "path", "content", F.parse_json("content").alias("v"))
+    every = reports.select("repo", "path", F.inline(_all_suites(c.v, c.content)))
+    tests = every.select("repo", "path", "suite", F.explode(_variants(c.s, "tests")).alias("t"))
     return tests.select(
         "repo",
         "path",
         "suite",
         F.try_variant_get(c.t, "$.title", "string").alias("title"),
-        F.transform(results, lambda r: F.try_variant_get(r, "$.status", "string")).alias("statuses"),
+        F.transform(_variants(c.t, "results"), lambda r: F.try_variant_get(r, "$.status", "string")).alias("statuses"),
     )
 
 

@@ -67,8 +67,8 @@ def append_activity(entries: DataFrame, path: str) -> None:
 
 
 def read_activity(spark: SparkSession, path: str, agent: str | None = None, limit: int = LOG_LIMIT) -> DataFrame:
-    """Newest entries first, of one agent if given."""
+    """Newest entries first, of one agent if given; entries of one time follow agent and text, so the limit is stable."""
     log = spark.read.schema(ACTIVITY).json(path)
     if agent is not None:
         log = log.where(F.col("agent") == agent)
-    return log.orderBy(F.col("timestamp").desc()).limit(limit)
+    return log.orderBy(F.col("timestamp").desc(), "agent", F.to_json(F.struct(*log.columns))).limit(limit)
