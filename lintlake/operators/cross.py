@@ -9,6 +9,7 @@ from lintlake.functions.scalars import basename, trimmed
 from lintlake.functions.text import found, lines_of
 from lintlake.operators.detect import SOURCE_EXTS, c, emit, finding, one, place, scope, text
 from lintlake.operators.positions import first_k
+from lintlake.session import cut_lineage
 
 # --- Fixed values: patterns and limits ------------------------------------------------
 TEST_FILES = [r"\.(test|spec)\.(ts|js|java)$", r"Test\.java$"]
@@ -27,7 +28,7 @@ EXPORT_DECLARATION = (
 EXPORT_LIST = r"export\s*\{([^}]+)\}"
 ENTRY_SYMBOLS = ["default", "main", "handler"]
 SCRIPT_EXTS = [".ts", ".js"]
-TOKEN_PIECE = 256
+TOKEN_PIECE, GRAM = 256, 3
 
 ENV_EXAMPLE = ".env.example"
 # The name after the prefix is one word; the call forms name a quoted string on their line.
@@ -177,6 +178,54 @@ def vocabulary(files: DataFrame) -> DataFrame:
     )
 
 
+def _grams(name: Column, sizes) -> Column:
+    """Distinct pieces of ``name`` that have one of the ``sizes``."""
+
+    def of_size(q: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(name) - q + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substr(name, i, F.lit(q))), lambda g: F.length(g) == q)
+
+    return F.array_distinct(F.concat(*[of_size(q) for q in sizes]))
+
+
+def words_around(words: DataFrame, names: DataFrame) -> DataFrame:
+    """``(repo, symbol, lo, hi)`` of the ``names (repo, symbol)`` that lie inside words of their repository.
+
+    Words ``(repo, word, lo, hi)`` are indexed by their pieces of three characters, as far as a name has the
+    piece; each name meets only the words of its rarest piece, and ``contains`` decides. A name of one or
+    two characters is its own piece, so words have pieces of these sizes too. Names that no word has are left out.
+    Very long words are cut, with an overlap that holds the longest name, so no row of the index is wide.
+    """
+    wanted = names.select("repo", "symbol").distinct()
+    longest = wanted.agg(F.max(F.length("symbol"))).first()[0] or 1
+    stride = max(TOKEN_PIECE, longest)
+    cuts = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / stride).cast("int"))
+    words = words.select(
+        "repo", "lo", "hi",
+        F.explode(F.transform(cuts, lambda i: F.substr("word", i * stride + 1, F.lit(stride + longest - 1)))).alias("word"),
+    )
+    size = F.least(F.length("symbol"), F.lit(GRAM))
+    own = wanted.select(
+        "repo", "symbol",
+        F.explode(F.filter(_grams(c.symbol, range(1, GRAM + 1)), lambda g: F.length(g) == size)).alias("gram"),
+    )
+    index = words.select("repo", "word", "lo", "hi", F.explode(_grams(c.word, range(1, GRAM + 1))).alias("gram"))
+    index = index.join(own.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi")
+    counts = index.groupBy("repo", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        own.join(counts, ["repo", "gram"], "left")
+        .groupBy("repo", "symbol")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+        .select("repo", "symbol", "least.gram")
+    )
+    return (
+        index.join(rarest, ["repo", "gram"])
+        .where(F.contains("word", "symbol"))
+        .groupBy("repo", "symbol")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+
+
 def dead_exports(files: DataFrame, mode: str = "substring", limit: int | None = None) -> DataFrame:
     """Exported names that occur in no other file; with ``limit``, the first ones of each repository.
 
@@ -185,48 +234,19 @@ def dead_exports(files: DataFrame, mode: str = "substring", limit: int | None =
     side. ``mode='token'`` compares whole words. ``substring``, the default, also accepts
     a name inside a longer word: a name has word characters only, so it is inside a text
     just when it is inside one of its words. Only the few names that no whole word
-    explains are looked for, among the parts of words that have the length of such a name.
+    explains are looked for there. Texts are read twice, for names and for words; both
+    tables are written, since the search uses them several times.
     """
     symbols = exports(files).where(~c.symbol.isin(ENTRY_SYMBOLS))
     words = vocabulary(files)
+    if mode == "substring":
+        words = cut_lineage(words)
     own = words.select("repo", F.col("word").alias("symbol"), "lo", "hi")
-    unused = symbols.join(own, ["repo", "symbol"], "left").where(
-        c.lo.isNull() | ((c.lo == c.path) & (c.hi == c.path))
-    ).select("repo", "path", "pos", "symbol")
+    only_own = c.lo.isNull() | ((c.lo == c.path) & (c.hi == c.path))
+    unused = symbols.join(own, ["repo", "symbol"], "left").where(only_own).select("repo", "path", "pos", "symbol")
     if mode == "substring":
-        lengths = unused.groupBy("repo").agg(F.array_sort(F.collect_set(F.length("symbol"))).alias("lengths"))
-        longest = F.array_max("lengths")
-        pieces = (
-            words.join(lengths, "repo")
-            .where(F.length("word") > F.array_min("lengths"))
-            .select(
-                "repo", "lo", "hi", "lengths",
-                F.explode(
-                    F.transform(
-                        F.sequence(F.lit(0), F.floor((F.length("word") - 1) / TOKEN_PIECE).cast("int")),
-                        lambda i: F.substr("word", i * TOKEN_PIECE + 1, TOKEN_PIECE + longest - 1),
-                    )
-                ).alias("piece"),
-            )
-        )
-        inner = F.flatten(
-            F.transform(
-                F.filter("lengths", lambda n: n <= F.length("piece")),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length("piece") - n + 1), lambda p: F.substr("piece", p, n)
-                ),
-            )
-        )
-        parts = pieces.select("repo", "lo", "hi", F.explode(F.array_distinct(inner)).alias("symbol"))
-        wanted = unused.select("repo", "symbol").distinct()
-        inside = (
-            parts.join(wanted, ["repo", "symbol"], "left_semi")
-            .groupBy("repo", "symbol")
-            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        )
-        unused = unused.join(inside, ["repo", "symbol"], "left").where(
-            c.lo.isNull() | ((c.lo == c.path) & (c.hi == c.path))
-        )
+        unused = cut_lineage(unused)
+        unused = unused.join(words_around(words, unused), ["repo", "symbol"], "left").where(only_own)
     if limit is not None:
         unused = first_k(unused.select("repo", "path", "pos", "symbol"), ["repo"], ["path", "pos"], limit)
     return emit(
