@@ -193,23 +193,23 @@ def words_around(words: DataFrame, names: DataFrame) -> DataFrame:
 
     Words ``(repo, word, lo, hi)`` are indexed by their pieces of three characters, as far as a name has the
     piece; each name meets only the words of its rarest piece, and ``contains`` decides. A name of one or
-    two characters is its own piece, so words have pieces of these sizes too. Names that no word has are left out.
+    two characters is its own piece, so words have pieces of such a size too if any name has it. Names that no word has are left out.
     Very long words are cut, with an overlap that holds the longest name, so no row of the index is wide.
     """
     wanted = names.select("repo", "symbol").distinct()
-    longest = wanted.agg(F.max(F.length("symbol"))).first()[0] or 1
+    size = F.least(F.length("symbol"), F.lit(GRAM))
+    seen = wanted.agg(F.max(F.length("symbol")), F.min(F.length("symbol")), F.collect_set(size)).first()  # three small values
+    longest, shortest, sizes = seen[0] or 1, seen[1] or 1, sorted(seen[2]) or [GRAM]
     stride = max(TOKEN_PIECE, longest)
     cuts = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / stride).cast("int"))
-    words = words.select(
+    words = words.where(F.length("word") >= shortest).select(
         "repo", "lo", "hi",
         F.explode(F.transform(cuts, lambda i: F.substr("word", i * stride + 1, F.lit(stride + longest - 1)))).alias("word"),
     )
-    size = F.least(F.length("symbol"), F.lit(GRAM))
     own = wanted.select(
-        "repo", "symbol",
-        F.explode(F.filter(_grams(c.symbol, range(1, GRAM + 1)), lambda g: F.length(g) == size)).alias("gram"),
+        "repo", "symbol", F.explode(F.filter(_grams(c.symbol, sizes), lambda g: F.length(g) == size)).alias("gram")
     )
-    index = words.select("repo", "word", "lo", "hi", F.explode(_grams(c.word, range(1, GRAM + 1))).alias("gram"))
+    index = words.select("repo", "word", "lo", "hi", F.explode(_grams(c.word, sizes)).alias("gram"))
     index = index.join(own.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi")
     counts = index.groupBy("repo", "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
