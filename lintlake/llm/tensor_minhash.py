@@ -13,8 +13,9 @@ the pairs of a group:
 2. groups of a left key stay as long as their nodes lie in several components. A round takes the next nodes
    of each group (4, then 64, then 1024, ...) and joins them with its later nodes in other components that share
    a table, that is a right key as well; then components are joined again, and nodes that have met all others
-   leave. A pair is made once, by its first common left key. So every pair of a table is either verified or already
-   in one component.
+   leave. Once the nodes left make at most ``LAST_ROUND`` comparisons, behind the first round, one round makes all of
+   them. A group of more than ``SLICE`` nodes is dealt over several tasks. A pair is made once, by its first common
+   left key. So every pair of a table is either verified or already in one component.
 
 The join makes no pair whose 128 low bytes of minhashes agree too seldom (72 of 128; 96 are expected at 0.75,
 five deviations away) or whose sizes rule a link out. Links are confirmed on full sets of shingles.
@@ -33,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import NO_ID, doc_id_of, key_columns, keyed, written
@@ -44,6 +45,10 @@ WORDS, PERCENT = 5, 75
 HALVES, ROWS = 16, 2
 SIGNED, LEAST_AGREEING = 128, 72
 FIRST_TAKE, FASTER = 4, 16
+#: Comparisons that one round makes at once, behind the first: the squares of the sizes of the groups that stay.
+LAST_ROUND = 200_000_000
+#: Nodes of a group that one task compares with all others of it.
+SLICE = 512
 _seed = np.arange(1, 2 * SIGNED + 1, dtype=np.uint64)
 FACTORS = mix(_seed * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -125,9 +130,8 @@ def may_link(n_a: Column, low_a: Column, n_b: Column, low_b: Column) -> Column:
     differ = F.lit(0)
     for i in range(SIGNED // 8):
         x = F.get(low_a, i).bitwiseXOR(F.get(low_b, i))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))  # short: a join's condition names x anew each time
+        differ = differ + F.bit_count((some + F.lit(0x0F0F0F0F0F0F0F0F)).bitwiseAND(F.lit(0x1010101010101010)))
     fits = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
     return fits & (differ <= SIGNED - LEAST_AGREEING)
 
@@ -177,32 +181,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return df.join(comp.select("node", F.col("comp").alias("_c")), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
 
     def mixed(df):
-        several = df.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-        return df.join(several, "h", "left_semi")
+        """Rows of the keys whose nodes lie in several components, with the number of nodes of their key."""
+        several = df.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+        return df.join(several.select("h", "size"), "h")
 
-    group = written(mixed(with_comp(own)).select("node", "h", "side"))
-    keys = written(_halves_of(group, "h").where("size(left) > 0 and size(right) > 0").join(sets, "node"))
-    group = group.where("side = 0").join(keys.select("node"), "node", "left_semi").select("h", "node")
+    keys = written(_halves_of(mixed(with_comp(own)), "h").where("size(left) > 0 and size(right) > 0").join(sets, "node"))
+    group = keys.select(F.explode("left").alias("h"), "node")
     take = FIRST_TAKE
     while True:
-        active = written(mixed(with_comp(group)))
-        if active.isEmpty():
+        seen = Observation()
+        active = written(mixed(with_comp(group)).observe(seen, F.sum("size").alias("squares")))
+        squares = seen.get["squares"]
+        if squares is None:
             break
-        order = F.row_number().over(Window.partitionBy("h").orderBy("node"))
-        pivots = written(active.withColumn("at", order).where(F.col("at") <= take).select("h", "node"))
-        full = active.join(keys, "node")
-        firsts = full.join(pivots, ["h", "node"], "left_semi")
-        one = firsts.select("h", *[F.col(c).alias("a" if c == "node" else f"{c}_a") for c in firsts.columns if c != "h"])
-        two = full.select(F.col("h").alias("h_b"), *[F.col(c).alias("b" if c == "node" else f"{c}_b") for c in full.columns if c != "h"])
+        last = take > FIRST_TAKE and squares <= LAST_ROUND
+        full = active.join(keys, "node").withColumn("slices", F.ceil(F.col("size") / SLICE)).drop("size")
+        firsts = full
+        if not last:
+            order = F.row_number().over(Window.partitionBy("h").orderBy("node"))
+            pivots = written(active.withColumn("at", order).where(F.col("at") <= take).select("h", "node"))
+            firsts = full.join(pivots, ["h", "node"], "left_semi")
+        one = firsts.withColumn("slice", F.pmod(F.xxhash64("node"), "slices"))  # a large group is met by its nodes slice by slice
+        one = one.select("h", "slice", *[F.col(c).alias("a" if c == "node" else f"{c}_a") for c in one.columns if c not in ("h", "slice", "slices")])
+        two = full.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        two = two.select(*[F.col(c).alias("b" if c == "node" else f"{c}_b") for c in two.columns if c != "slices"])
         met = one.join(
             two,
-            (F.col("h") == F.col("h_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & possible
-            & F.arrays_overlap("right_a", "right_b") & (F.get(F.array_sort(F.array_intersect("left_a", "left_b")), 0) == F.col("h")),
+            (F.col("h") == F.col("h_b")) & (F.col("slice") == F.col("slice_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+            & possible & F.arrays_overlap("right_a", "right_b") & (F.get(F.array_sort(F.array_intersect("left_a", "left_b")), 0) == F.col("h")),
         )
         links = _verified(met.select("a", "b"), bodies)
         if not links.isEmpty():
             old = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
             comp = written(components(old.unionByName(links)))
+        if last:
+            break
         group = active.select("h", "node").join(pivots, ["h", "node"], "left_anti")
         take *= FASTER
     named = comp.join(classes.select("node", own_key), "node")
