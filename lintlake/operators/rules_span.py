@@ -53,8 +53,8 @@ def classes(files: DataFrame) -> DataFrame:
     return f.select("repo", "path", "s.name", "s.start", "s.lines", "s.methods")
 
 
-def god_classes(files: DataFrame) -> DataFrame:
-    many, long = c.methods > GOD_CLASS_METHODS, c.lines > GOD_CLASS_LINES
+def god_classes(files: DataFrame, methods: int = GOD_CLASS_METHODS, lines: int = GOD_CLASS_LINES) -> DataFrame:
+    many, long = c.methods > methods, c.lines > lines
     reason = (
         F.when(many & long, text(c.methods, " methods and ", c.lines, " lines"))
         .when(many, text(c.methods, " methods"))

@@ -689,3 +689,37 @@ _JAVA_PARTS = [
     ),
 ]
 ORACLE["file_rules"] = " UNION ALL ".join([*[_as_part(n) for n in _FUSED], *_JAVA_PARTS])
+
+_GOD = CLASSES + """, gc AS (SELECT repo, path, name, start, lines,
+   (SELECT count(*) FROM jl j WHERE j.doc_id = sp.doc_id AND j.n IN (4, 10, 11) AND j.line_no > start AND j.line_no < start + lines - 1) AS methods
+   FROM sp WHERE lines > 1),
+gr AS (SELECT *, concat_ws(' and ', CASE WHEN methods > 2 THEN methods || ' methods' END, CASE WHEN lines > 20 THEN lines || ' lines' END) AS reason
+   FROM gc WHERE methods > 2 OR lines > 20)"""
+ORACLE["god_classes"] = q(
+    _GOD,
+    hit(
+        "god-class", "tech-debt", 0.85, "CASE WHEN methods > 2 AND lines > 20 THEN 'high' ELSE 'medium' END", "gr", line="start",
+        snip="'class ' || name || ' — ' || reason",
+    ),
+)
+
+_CHANGES = """aft AS (SELECT source AS repo, 'docs/d' || doc_id || '.md' AS path, text AS content FROM documents),
+bef AS (SELECT source AS repo, 'docs/d' || doc_id || '.md' AS path, regexp_replace(text, '[0-9]', '#', 'g') AS content FROM documents WHERE doc_id % 13 <> 0
+   UNION ALL SELECT source, 'docs/old/d' || doc_id || '.md', regexp_replace(text, '[0-9]', '#', 'g') FROM documents WHERE doc_id % 17 = 0),
+cp AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path,
+   CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+   FROM aft a FULL JOIN bef b ON a.repo = b.repo AND a.path = b.path
+   WHERE a.path IS NULL OR b.path IS NULL OR a.content IS DISTINCT FROM b.content)"""
+ORACLE["changed_paths"] = titled(_CHANGES, "SELECT * FROM cp")
+ORACLE["changed_folders"] = titled(
+    _CHANGES
+    + """, names AS (SELECT unnest(['', 'docs', 'docs/old']) AS folder),
+both_sides AS (SELECT repo, path, 1 AS b, 0 AS a FROM bef UNION ALL SELECT repo, path, 0, 1 FROM aft),
+sums AS (SELECT repo, folder, sum(b)::BIGINT AS files_before, sum(a)::BIGINT AS files_after
+   FROM both_sides JOIN names ON folder = '' OR starts_with(path, folder || '/') GROUP BY repo, folder)""",
+    """SELECT repo, folder, CASE WHEN files_before = 0 THEN 'added' WHEN files_after = 0 THEN 'removed' ELSE 'changed' END AS change, files_before, files_after
+       FROM sums s WHERE EXISTS (SELECT 1 FROM cp WHERE cp.repo = s.repo AND (folder = '' OR starts_with(cp.path, folder || '/')))""",
+)
+ORACLE["changed_secrets"] = titled(
+    f"{_CHANGES}, sd AS ({ORACLE['secrets_docs']})", "SELECT * FROM sd WHERE (repo, file) IN (SELECT (repo, path) FROM cp WHERE change <> 'removed')"
+)

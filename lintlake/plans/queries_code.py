@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import scalars as X
+from lintlake.operators import changes as CH
 from lintlake.operators import cross as C
 from lintlake.operators import imports as I
 from lintlake.operators import routes as RT
@@ -154,6 +155,10 @@ def class_spans(spark, sf):
     return RS.classes(V.java_files(spark, sf))
 
 
+def god_classes(spark, sf):
+    return rows(RS.god_classes(V.java_files(spark, sf), methods=2, lines=20))
+
+
 def swallowed_exceptions(spark, sf):
     return rows(RS.swallowed_exceptions(V.code_files(spark, sf)))
 
@@ -382,13 +387,33 @@ def inferred_runs(spark, sf):
     return o.select("k", X.infer_tier(path).alias("tier"), X.infer_fixture(path, fixtures).alias("fixture"))
 
 
+# -- changes ------------------------------------------------------------------------
+
+
+def _snapshots(spark, sf):
+    return [CH.file_digests(f(spark, sf)) for f in (V.earlier_document_files, V.document_files)]
+
+
+def changed_folders(spark, sf):
+    return CH.changed_folders(*[CH.digest_tree(d) for d in _snapshots(spark, sf)])
+
+
+def changed_paths(spark, sf):
+    return CH.changed_paths(*_snapshots(spark, sf))
+
+
+def changed_secrets(spark, sf):
+    """Secrets in the files that a change added or edited."""
+    return rows(RL.secrets(CH.changed_files(V.earlier_document_files(spark, sf), V.document_files(spark, sf))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         numbered_lines, line_rules, line_rules_java, secrets_docs, secrets_settings, custom_patterns, todo_scan,
         runtime_calls, env_files, java_security, server_config, maven_manifest, controllers, file_naming, long_files,
         many_parameters, magic_numbers, test_quality, complexity, deprecated_apis, deep_nesting, persistence, file_rules, a11y_pages,
-        function_spans, long_functions, class_spans, swallowed_exceptions, manifest_dependencies, dependency_rules,
+        function_spans, long_functions, class_spans, god_classes, changed_folders, changed_paths, changed_secrets, swallowed_exceptions, manifest_dependencies, dependency_rules,
         dep_prefixes, pom_facts, ignore_rules, profiles, readme_sections, migration_tools, observability, i18n_library,
         text_nodes, hardcoded_texts, hardcoded_colors, style_values, style_sprawl, inline_styles, magic_z_indexes,
         reduced_motion, missing_tests, dry_blocks, exported_names, dead_exports, dead_exports_by_token, stale_env_keys,

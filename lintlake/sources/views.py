@@ -277,6 +277,17 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier state of :func:`document_files`: numbers masked, some files missing, some since removed."""
+    doc = F.col("doc_id")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    kept = d.where(doc % 13 != 0).select("source", F.concat(F.lit("docs/d"), doc.cast("string"), F.lit(".md")).alias("path"), "text")
+    gone = d.where(doc % 17 == 0).select("source", F.concat(F.lit("docs/old/d"), doc.cast("string"), F.lit(".md")).alias("path"), "text")
+    return kept.unionByName(gone).select(
+        F.col("source").alias("repo"), "path", F.lit(".md").alias("ext"), F.regexp_replace("text", "[0-9]", "#").alias("content")
+    )
+
+
 def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A functional graph over the suppliers, as import edges."""
     s = table(spark, sf_dir, "supplier")
