@@ -693,12 +693,12 @@ ORACLE["file_rules"] = " UNION ALL ".join([*[_as_part(n) for n in _FUSED], *_JAV
 _GOD = CLASSES + """, gc AS (SELECT repo, path, name, start, lines,
    (SELECT count(*) FROM jl j WHERE j.doc_id = sp.doc_id AND j.n IN (4, 10, 11) AND j.line_no > start AND j.line_no < start + lines - 1) AS methods
    FROM sp WHERE lines > 1),
-gr AS (SELECT *, concat_ws(' and ', CASE WHEN methods > 2 THEN methods || ' methods' END, CASE WHEN lines > 20 THEN lines || ' lines' END) AS reason
-   FROM gc WHERE methods > 2 OR lines > 20)"""
+gr AS (SELECT *, concat_ws(' and ', CASE WHEN methods > 1 THEN methods || ' methods' END, CASE WHEN lines > 8 THEN lines || ' lines' END) AS reason
+   FROM gc WHERE methods > 1 OR lines > 8)"""
 ORACLE["god_classes"] = q(
     _GOD,
     hit(
-        "god-class", "tech-debt", 0.85, "CASE WHEN methods > 2 AND lines > 20 THEN 'high' ELSE 'medium' END", "gr", line="start",
+        "god-class", "tech-debt", 0.85, "CASE WHEN methods > 1 AND lines > 8 THEN 'high' ELSE 'medium' END", "gr", line="start",
         snip="'class ' || name || ' — ' || reason",
     ),
 )
@@ -723,3 +723,12 @@ sums AS (SELECT repo, folder, sum(b)::BIGINT AS files_before, sum(a)::BIGINT AS
 ORACLE["changed_secrets"] = titled(
     f"{_CHANGES}, sd AS ({ORACLE['secrets_docs']})", "SELECT * FROM sd WHERE (repo, file) IN (SELECT (repo, path) FROM cp WHERE change <> 'removed')"
 )
+
+ORACLE["component_templates"] = titled(
+    f"ap AS ({ORACLE['a11y_pages']}), nr AS (SELECT *, regexp_extract(file, '[0-9]+')::BIGINT AS page FROM ap WHERE rule <> 'html-missing-lang')",
+    "SELECT * EXCLUDE (page) REPLACE ('src/page' || page || '.component.ts' AS file) FROM nr WHERE page % 3 <> 0",
+)
+ORACLE["many_dependencies"] = q(
+    project(""),
+    hit("excessive-dependencies", "architecture", 0.9, "'medium'", "pr", "k % 120 + 1 > 80", line="NULL", file="'package.json'"),
+)

@@ -143,6 +143,10 @@ def a11y_pages(spark, sf):
 # -- spans ---------------------------------------------------------------------------
 
 
+def component_templates(spark, sf):
+    return rows(RF.accessibility(V.component_files(spark, sf)))
+
+
 def function_spans(spark, sf):
     return RS.functions(V.code_files(spark, sf))
 
@@ -156,7 +160,7 @@ def class_spans(spark, sf):
 
 
 def god_classes(spark, sf):
-    return rows(RS.god_classes(V.java_files(spark, sf), methods=2, lines=20))
+    return rows(RS.god_classes(V.java_files(spark, sf), methods=1, lines=8))
 
 
 def swallowed_exceptions(spark, sf):
@@ -174,6 +178,10 @@ def dependency_rules(spark, sf):
     return rows(RR.dependency_rules(project_files(spark, sf, "manifest")))
 
 
+def many_dependencies(spark, sf):
+    return rows(RR.dependency_rules(project_files(spark, sf, "wide_manifest")))
+
+
 def dep_prefixes(spark, sf):
     return rows(RR.duplicate_prefixes(project_files(spark, sf, "manifest")))
 
@@ -412,7 +420,7 @@ QUERIES = {
     for f in (
         numbered_lines, line_rules, line_rules_java, secrets_docs, secrets_settings, custom_patterns, todo_scan,
         runtime_calls, env_files, java_security, server_config, maven_manifest, controllers, file_naming, long_files,
-        many_parameters, magic_numbers, test_quality, complexity, deprecated_apis, deep_nesting, persistence, file_rules, a11y_pages,
+        many_parameters, magic_numbers, test_quality, complexity, deprecated_apis, deep_nesting, persistence, file_rules, a11y_pages, component_templates, many_dependencies,
         function_spans, long_functions, class_spans, god_classes, changed_folders, changed_paths, changed_secrets, swallowed_exceptions, manifest_dependencies, dependency_rules,
         dep_prefixes, pom_facts, ignore_rules, profiles, readme_sections, migration_tools, observability, i18n_library,
         text_nodes, hardcoded_texts, hardcoded_colors, style_values, style_sprawl, inline_styles, magic_z_indexes,

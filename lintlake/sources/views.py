@@ -221,6 +221,16 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as component classes; two of three hold their markup, the others name a file."""
+    n = F.regexp_extract("path", "[0-9]+", 0)
+    markup = F.when(n.cast("long") % 3 == 0, F.lit("templateUrl: './page.html'")).otherwise(F.concat(F.lit("template: `"), "content", F.lit("`")))
+    return page_files(spark, sf_dir).select(
+        "repo", F.concat(F.lit("src/page"), n, F.lit(".component.ts")).alias("path"), F.lit(".ts").alias("ext"),
+        F.concat(F.lit("@Component({\n  selector: 'app-page',\n  "), markup, F.lit("\n})\nexport class PageComponent {}\n")).alias("content"),
+    )
+
+
 def site_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts next to the pages; three of the eight sites use a translation library."""
     doc = F.col("doc_id")

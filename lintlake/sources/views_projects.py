@@ -83,6 +83,10 @@ PROJECT_FILES = {
              'scripts', map_from_entries(transform(sequence(0, cast(k % 3 as int)), i -> struct(
                element_at(array('build', 'test', 'lint'), i + 1), 'run it')))))""",
     ),
+    "wide_manifest": (
+        "'package.json'",
+        """to_json(named_struct('dependencies', map_from_entries(transform(sequence(1, cast(k % 120 as int) + 1), i -> struct(concat('dep', i), '1.2.3')))))""",
+    ),
     "readme": (
         "if(k % 8 = 0, 'docs/readme.txt', 'README.md')",
         """concat('# Project ', k, '\\n', if(k % 2 = 0, '## Installation\\n', ''), if(k % 3 = 0, '## Usage: npm run build\\n', ''),
