@@ -6,6 +6,9 @@ samples per file reach a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +113,11 @@ def any_of(cond: Column) -> Column:
     return F.coalesce(F.max(F.coalesce(cond, F.lit(False))), F.lit(False))
 
 
+def without_content(files: DataFrame) -> DataFrame:
+    """The files by their paths: a scan of them reads no texts."""
+    return files.withColumn("content", F.lit(None).cast("string"))
+
+
 def whole_repo(name: str = ".") -> Column:
     return one(F.lit(name))
 
@@ -167,8 +175,8 @@ def duplicate_prefixes(files: DataFrame) -> DataFrame:
 def documentation(files: DataFrame) -> DataFrame:
     """README presence and sections, decision records, scripts the README does not mention.
 
-    One aggregation over flags; the contents of README and manifest are compared where
-    they are read, the rest of the files contribute their path only.
+    One aggregation over flags. A path filter, pushed to the scan, leaves the contents of README and
+    manifest; all files contribute their path in a scan that reads no texts. Flags don't mind rows twice.
     """
     readme, manifest = c.path == README, c.path == "package.json"
     lowered = F.when(readme, F.lower("content"))
@@ -179,7 +187,8 @@ def documentation(files: DataFrame) -> DataFrame:
     for s in DOCUMENTED_SCRIPTS:
         flags.append(any_of(F.length(F.try_element_at(scripts, F.lit(s))) > 0).alias(f"script_{s}"))
         flags.append(any_of(F.contains(lowered, F.lit(f"npm run {s}"))).alias(f"named_{s}"))
-    facts = files.groupBy("repo").agg(*flags)
+    named = files.where(c.path.isin(README, "package.json"))
+    facts = without_content(files).unionByName(named).groupBy("repo").agg(*flags)
 
     def section(name: str) -> Column:
         rule, severity = (
@@ -214,8 +223,11 @@ def documentation(files: DataFrame) -> DataFrame:
 
 
 def missing_migration_tool(files: DataFrame) -> DataFrame:
+    """Repositories with entities but no migrations; texts are read of Java and build files only."""
     rooted = F.concat(F.lit("/"), c.path)
-    facts = scope(files).groupBy("repo").agg(
+    build = reduce(or_, [c.path.isin(BUILD_FILES), *[c.path.endswith(f"/{b}") for b in BUILD_FILES]])
+    migrations = without_content(files).where(rooted.rlike(MIGRATION_FILE))
+    facts = scope(files.where((c.ext == ".java") | build).unionByName(migrations)).groupBy("repo").agg(
         any_of((c.ext == ".java") & c.content.rlike(ENTITY)).alias("entities"),
         any_of(rooted.rlike(MIGRATION_FILE)).alias("migrations"),
         any_of(basename(c.path).isin(BUILD_FILES) & c.content.rlike(MIGRATION_TOOL)).alias("tool"),
@@ -233,13 +245,14 @@ def missing_migration_tool(files: DataFrame) -> DataFrame:
 
 
 def observability(files: DataFrame) -> DataFrame:
-    """Health endpoint and tracing, from flags of all files of a repository."""
+    """Health endpoint and tracing, from flags of the sources, build and settings files of a repository."""
     source = c.ext.isin(SOURCE_EXTS)
+    read = source | c.path.isin(BUILD_FILES) | c.ext.isin(SERVER_CONFIG_EXTS)
     healthy = source & (c.content.rlike(HEALTH_ROUTE) | c.content.rlike(HEALTH_HANDLER) | c.content.rlike(HEALTH_MAPPING))
     configured = (c.path.isin(BUILD_FILES) & c.content.rlike(ACTUATOR_DEPENDENCY)) | (
         c.ext.isin(SERVER_CONFIG_EXTS) & c.content.rlike(MANAGEMENT_KEY)
     )
-    facts = scope(files).groupBy("repo").agg(
+    facts = scope(files.where(read)).groupBy("repo").agg(
         F.count(F.when(source, 1)).alias("n"),
         any_of(healthy | configured).alias("health"),
         any_of(source & c.content.rlike(TRACING)).alias("tracing"),
