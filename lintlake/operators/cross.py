@@ -117,7 +117,7 @@ def dry_violations(files: DataFrame) -> DataFrame:
     first place comes first stands for the set, and only the places of these blocks are
     looked up again.
     """
-    blocks = code_blocks(files)
+    blocks = cut_lineage(code_blocks(files))  # digests are written, so texts are read and digested once
     per_file = blocks.groupBy("repo", "block", "path").agg(F.min("pos").alias("pos"))
     shared = (
         per_file.groupBy("repo", "block")
