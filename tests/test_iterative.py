@@ -100,6 +100,31 @@ def test_components_and_rounds_equal_greedy(spark, block_rows):
     assert got == greedy(truth, preds)
 
 
+def test_slices_do_not_follow_long_lists(spark):
+    """Late rows whose list is long and gone but for its end: a few slices, not a round per entry."""
+    truth = [dict(id=f"G{i}", ord=i, file=f"a{i}" if i < 30 else "none", line=1, domain="d", title="ok then" if i < 30 else TITLES[0]) for i in range(40)]
+    preds = [dict(id=f"P{i}", ord=i, domain="d", rule="r", title=TITLES[0], evidence=[(f"a{i}", 1)]) for i in range(38)]
+    t, p = frames(spark, truth, preds)
+    sc = spark.sparkContext
+    sc.setJobGroup("slices", "matching")
+    try:
+        got = {r.truth_id: r.finding_id for r in evaluate.match_findings(t, p, block_rows=32).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("slices"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == greedy(truth, preds)
+    assert jobs < 250
+
+
+def test_choices_out_of_reach_are_left_out(spark):
+    """Two rows share a list of six: the second finding of no other list ends it, whatever comes between."""
+    rows = spark.createDataFrame([("f", "A", 1, i, ["x", "y", "t"]) for i in (1, 2)] + [("f", "A", 1, 3, ["x", "z", "u"])], "fixture string, tier string, run int, t_ord bigint, keys array<string>")
+    lists = [(3, "t", f"P{i}", i) for i in range(6)] + [(2, "z", "P1", 1), (2, "y", "P9", 9)]
+    choices = spark.createDataFrame([("f", "A", 1, *x) for x in lists], "fixture string, tier string, run int, level int, key string, id string, ord bigint")
+    got = {(r.key, r.id) for r in evaluate._within_reach(rows, choices).collect()}
+    assert got == {("t", "P0"), ("t", "P1"), ("t", "P2"), ("z", "P1"), ("y", "P9")}
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_duplicate_pairs_equal_brute_force(spark, seed):
     rng = random.Random(seed)
