@@ -2,7 +2,8 @@
 
 Where the tokenizer is byte-level BPE without a normaliser, its merges never cross the pieces that its
 split pattern makes, so each distinct piece is encoded once by the library's model and kept; the ids of a
-text are those of its pieces. Any other tokenizer encodes whole texts. The queries give the library's default ids
+text are those of its pieces. Texts are cut together, by the kinds of neighbouring characters, and only the distinct
+pieces of a chunk become Python strings. Any other tokenizer encodes whole texts. The queries give the library's default ids
 (``add_special_tokens=False``): an added token that stands in a text is one id, and such a text is encoded whole.
 With ``added=False`` special tokens in a text are ordinary text.
 """
@@ -12,15 +13,17 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-from lintlake.llm.text_arrays import chunks, give_back, ranges
+from lintlake.llm.text_arrays import chunks, give_back, ranges, texts_of
 
-#: The split pattern of byte-level pre-tokenizers. No two alternatives but the second and fourth begin alike,
-#: so letters, the most frequent, are tried first.
+#: The split pattern of byte-level pre-tokenizers, which :func:`cut` follows. No two alternatives but the second and
+#: fourth begin alike, so their order only matters between those.
 PIECES = r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER, LETTER, NUMBER, SPACE = range(4)
 END_ID = 0
 #: Pieces that a worker keeps; then it starts anew.
 KEPT_PIECES = 500_000
@@ -33,6 +36,51 @@ def byte_signs() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Kind of each code point, as the split pattern tells them apart."""
+    import regex
+
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for found in regex.finditer(pattern, every):
+            kinds[found.start() : found.end()] = kind
+    return kinds
+
+
+def cut(text: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of all texts begin in ``data``, their UTF-8 bytes; ``text`` is the same as a string."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n = len(code)
+    if not n:
+        return np.zeros(0, np.int64)
+    byte = np.flatnonzero(data & 0xC0 != 0x80)
+    begin = np.zeros(n + 1, bool)  # of a text
+    begin[np.searchsorted(byte, offsets)] = True
+    kind = _kinds()[code]
+    new = np.ones(n + 1, bool)
+    new[1:n] = (kind[1:] != kind[:-1]) | begin[1:n]
+    first = np.flatnonzero(new)
+    first, end = first[:-1], first[1:]
+    kind, goes_on = kind[first], ~begin[end]
+    # the last one of several spaces is a piece of its own, or a blank goes to what follows
+    last = end[(kind == SPACE) & goes_on] - 1
+    new[last] = True
+    new[last[code[last] == 0x20] + 1] = False
+    # 's 't 'm 'd 're 've 'll, unless a blank or another sign stands before
+    at = np.flatnonzero((kind[:-1] == OTHER) & (end[:-1] - first[:-1] == 1) & (code[first[:-1]] == 0x27) & new[first[:-1]] & goes_on[:-1] & (kind[1:] == LETTER))
+    start, stop = first[at + 1], end[at + 1]
+    one, two = code[start], np.where(start + 1 < stop, code[np.minimum(start + 1, n - 1)], 0)
+    size = np.isin(one, [ord(c) for c in "stmd"]).astype(np.int64)
+    for a, b in ("re", "ve", "ll"):
+        size[(one == ord(a)) & (two == ord(b))] = 2
+    start, size = start[size > 0], size[size > 0]
+    new[start] = False
+    new[start + size] = True
+    return byte[np.flatnonzero(new[:n])]
+
+
 class _Pieces(dict):
     """Number of each piece; a new one is encoded."""
 
@@ -62,17 +110,17 @@ class Encoder:
             kind["normalizer"] is None and kind["model"]["type"] == "BPE" and split.get("type") == "ByteLevel"
             and not split.get("add_prefix_space") and split.get("use_regex", True)
         )
-        self.split = regex.compile(PIECES).findall
         tokens = [t["content"] for t in kind["added_tokens"] if added or not t["special"]]
         self.whole = regex.compile("|".join(map(regex.escape, tokens))).search if tokens else None
         self.pieces, self.kept = _Pieces(self.tokenizer.model), kept
 
-    def __call__(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None] | pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (each followed by ``end``), and where each text's ids begin (one more than texts)."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if self.by_piece:
-            ids, sizes = self._by_piece(texts)
+            ids, sizes = self._by_piece(column)
         else:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             sizes = np.array([len(x) for x in found], np.int64)
             ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(x, np.uint32) for x in found]])
         if end is None:
@@ -82,23 +130,26 @@ class Encoder:
         out[ranges(first[:-1], sizes)] = ids
         return out, first
 
-    def _by_piece(self, texts):
+    def _by_piece(self, column):
         if len(self.pieces) > self.kept:
             self.pieces = _Pieces(self.tokenizer.model)
-        number = self.pieces.__getitem__
-        found, whole = [], {}
-        for k, text in enumerate(texts):
-            if self.whole and self.whole(text or ""):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                text = None
-            pieces = self.split(text or "")
-            found.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
-        which = np.concatenate([np.zeros(0, np.int64), *found])
+        data, offsets = texts_of(column)
+        joined, whole = data.tobytes().decode(), {}
+        if self.whole and self.whole(joined):
+            texts = [t or "" for t in column.to_pylist()]
+            whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if self.whole(t)}
+            data, offsets = texts_of(pa.array(["" if k in whole else t for k, t in enumerate(texts)], pa.string()))
+            joined = data.tobytes().decode()
+        begin = cut(joined, data, offsets)
+        ends = pa.py_buffer(np.append(begin, len(data)).astype(np.int32))
+        found = pa.StringArray.from_buffers(len(begin), ends, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False)  # strings, without a scalar each
+        which = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
         ends = np.array(self.pieces.ends)
         size = (ends[1:] - ends[:-1])[which]
         ids = np.array(self.pieces.ids, np.uint32)[ranges(ends[which], size)]
         total = np.concatenate([[0], np.cumsum(size)])
-        cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        cuts = np.searchsorted(begin, offsets)
         sizes = np.diff(total[cuts])
         if whole:
             at = total[cuts]
@@ -126,4 +177,4 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, limit: int, kept: int
     give_back()  # a worker that has served other operators brings their memory along
     encode = encoder(path, kept)
     for batch in chunks(batches, limit=limit):
-        yield batch, *encode(batch.column("text").to_pylist())
+        yield batch, *encode(batch.column("text"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,46 @@ def loss_in(start, length, loss_from):
     return np.maximum(0, start + length - np.maximum(start + 1, loss_from))
 
 
+class _Rests:
+    """Rests by what they demand: those that demand the same are weighed once, and the first document's goes first."""
+
+    def __init__(self, doc: np.ndarray, start: np.ndarray, need: np.ndarray):
+        kinds, of = np.unique(need, axis=0, return_inverse=True)
+        self.n, self.need, self.some = len(doc), kinds.astype(np.float64), np.ones(len(kinds), bool)
+        self.at = {(size, loss): k for k, (size, _, loss) in enumerate(kinds.tolist())}
+        self.held: list[list[tuple[int, int]]] = [[] for _ in range(len(kinds))]
+        for k, d, s in zip(of.ravel().tolist(), doc.tolist(), start.tolist(), strict=True):
+            self.held[k].append((d, s))  # ascending, so a heap
+
+    def _first(self, value: np.ndarray) -> int:
+        ties = np.flatnonzero(value == value.max()).tolist()
+        return ties[0] if len(ties) == 1 else min(ties, key=lambda k: self.held[k][0])
+
+    def best(self, weight: np.ndarray, left: np.ndarray) -> int | None:
+        """The kind that fits and points most towards what is left."""
+        fits = self.some & (self.need[:, 0] <= left[0]) & (self.need[:, 1] <= left[1]) & (self.need[:, 2] <= left[2])
+        return self._first(np.where(fits, self.need @ (weight * left), -1.0)) if fits.any() else None
+
+    def largest(self) -> int:
+        return self._first(np.where(self.some, self.need[:, 0], -1.0))
+
+    def pop(self, kind: int) -> tuple[int, int, int]:
+        d, s = heappop(self.held[kind])
+        self.n -= 1
+        self.some[kind] = bool(self.held[kind])
+        return d, s, int(self.need[kind, 0])
+
+    def push(self, d: int, s: int, size: int, loss: int) -> None:
+        kind = self.at.setdefault((size, loss), len(self.held))
+        if kind == len(self.held):
+            self.held.append([])
+            self.need = np.append(self.need, [[size, 1.0, loss]], 0)
+            self.some = np.append(self.some, True)
+        heappush(self.held[kind], (d, s))
+        self.some[kind] = True
+        self.n += 1
+
+
 def pack(sizes: np.ndarray, loss_from: np.ndarray, limits: Limits) -> np.ndarray:
     """Pieces ``(document, start, length, sequence, offset)`` of documents of ``sizes`` tokens."""
     cap = limits.as_array()
@@ -63,26 +104,24 @@ def pack(sizes: np.ndarray, loss_from: np.ndarray, limits: Limits) -> np.ndarray
     length = sizes[doc] - start
     need = np.stack([length, np.ones(len(doc), np.int64), loss_in(start, length, loss_from[doc])], 1)
     weight = need.sum(0) / cap / cap / cap  # demand of each limit, in its own unit
+    rests = _Rests(doc, start, need)
     left, used, offset = cap.copy(), False, 0
-    alive = length > 0
-    while alive.any():
-        fits = alive & (need <= left).all(1)
-        if fits.any() and left[1] > 1:
-            i = int(np.argmax(np.where(fits, need @ (weight * left), -1.0)))
-            take = int(length[i])
-        else:
-            i = int(np.argmax(np.where(alive, length, -1)))
-            take = int(min(length[i], left[0], limits.loss + 1)) if left[1] > 0 else 0
-            while take and loss_in(start[i], take, loss_from[doc[i]]) > left[2]:
+    while rests.n:
+        take = 0
+        if left[1] > 1 and (best := rests.best(weight, left)) is not None:
+            d, at, take = rests.pop(best)
+            loss = int(loss_in(at, take, loss_from[d]))
+        elif left[1] > 0:
+            d, at, size = rests.pop(rests.largest())
+            take = int(min(size, left[0], limits.loss + 1))
+            while take and (loss := int(loss_in(at, take, loss_from[d]))) > left[2]:
                 take -= 1
+            if size > take:
+                rests.push(d, at + take, size - take, int(loss_in(at + take, size - take, loss_from[d])))
         if take:
-            pieces.append((int(doc[i]), int(start[i]), take, sequence, offset))
-            left -= [take, 1, loss_in(start[i], take, loss_from[doc[i]])]
+            pieces.append((d, at, take, sequence, offset))
+            left -= [take, 1, loss]
             offset, used = offset + take, True
-            start[i] += take
-            length[i] -= take
-            alive[i] = length[i] > 0
-            need[i] = length[i], 1, loss_in(start[i], length[i], loss_from[doc[i]])
         if not take or not left[0] or not left[1]:
             left, used, offset, sequence = cap.copy(), False, 0, sequence + int(used)
     return np.array(pieces, np.int64).reshape(-1, 5)

@@ -3,9 +3,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from lintlake.llm import pfor, vector_packing
+from lintlake.llm import pfor, tokens, vector_packing
 from lintlake.llm.tokens import Encoder
 from lintlake.llm.vector_packing import Limits, loss_in, pack
 
@@ -35,6 +36,24 @@ def test_pieces_give_the_ids_of_whole_texts(library, corpus):
         assert ids[first[i] : first[i + 1]].tolist() == library(t), repr(t)[:80]
 
 
+def test_texts_are_cut_together_as_the_pattern_cuts_each(monkeypatch):
+    cut_each = regex.compile(tokens.PIECES).findall
+    rng = np.random.default_rng(3)
+    signs = list("  \t\n'" + "''srtevmldxAZ09.,-é２\u3000\u00a0²٣\x1c\x85\u200d👩ſ")
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 12)))) for _ in range(4000)]
+    joined, offsets = "".join(texts), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data = joined.encode()
+    begin = tokens.cut(joined, np.frombuffer(data, np.uint8), offsets).tolist()
+    got = [data[a:b].decode() for a, b in zip(begin, [*begin[1:], len(data)], strict=True)]
+    assert got == [p for t in texts for p in cut_each(t)]
+    encode, asked = Encoder(VOCABULARY), []
+    kind = type(encode.pieces)
+    number = kind.__getitem__
+    monkeypatch.setattr(kind, "__getitem__", lambda self, piece: (asked.append(piece), number(self, piece))[1], raising=False)
+    encode(["many equal words " * 5000] * 3)
+    assert 0 < len(asked) < 10  # a piece is looked up once a chunk, not at each of its places
+
+
 def test_added_tokens_are_those_of_the_unchanged_library(spark, docs_of):
     default = Tokenizer.from_file(VOCABULARY)
     mark = "<|endoftext|>"
@@ -140,6 +159,17 @@ def test_packing_edge_cases(spark, docs_of, library):
     assert vector_packing.pack_documents(docs_of({}), VOCABULARY).collect() == []
 
 
+def test_rests_that_demand_the_same_are_weighed_once(monkeypatch):
+    weighed = []
+    where = np.where
+    monkeypatch.setattr(np, "where", lambda c, *rest: (weighed.append(np.size(c)), where(c, *rest))[1])
+    sizes = np.arange(6000) % 50 + 1
+    pieces = pack(sizes, np.zeros(6000, np.int64), Limits())
+    assert np.bincount(pieces[:, 0], pieces[:, 2], 6000).tolist() == sizes.tolist()
+    assert np.bincount(pieces[:, 3], pieces[:, 2]).max() <= 1024 and np.bincount(pieces[:, 3]).max() <= 128
+    assert 0 < sum(weighed) < 1000 * 6000  # 36 million, when each step weighed every document
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_three_limits_hold_together(seed):
     rng = np.random.default_rng(seed)
