@@ -14,10 +14,12 @@ the pairs of a group:
    of each group (4, then 64, then 1024, ...) and joins them with its later nodes in other components that share
    a table, that is a right key as well; then components are joined again, and nodes that have met all others
    leave. Once the nodes left make at most ``LAST_ROUND`` comparisons, behind the first round, one round makes all of
-   them. A group of more than ``SLICE`` nodes is dealt over several tasks. A pair is made once, by its first common
-   left key. So every pair of a table is either verified or already in one component.
+   them. A pair is made once, by its first common left key. So every pair of a table is either verified or already in
+   one component. Groups of up to ``PAIRED`` nodes list their pairs. A larger one is dealt into blocks of ``SLICE`` by
+   ``PART`` nodes, which are compared as arrays: a node that may have links is a row with the nodes it may be linked with,
+   its set joins it once a block, and a block returns links that join something.
 
-The join makes no pair whose 128 low bytes of minhashes agree too seldom (72 of 128; 96 are expected at 0.75,
+Neither way makes a pair whose 128 low bytes of minhashes agree too seldom (72 of 128; 96 are expected at 0.75,
 five deviations away) or whose sizes rule a link out. Links are confirmed on full sets of shingles.
 
 Defined results: a document without words, or null, has the empty set and is linked with nothing. With
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import NO_ID, doc_id_of, key_columns, keyed, written
 from lintlake.llm.components import components
-from lintlake.llm.text_arrays import LOWER, NOT_SPACE, Sums, chunks, mix, ngrams, ranges, split, texts_of, values
+from lintlake.llm.text_arrays import LOWER, NOT_SPACE, Sums, chunks, lists_of, mix, ngrams, ranges, split, texts_of, values
 
 WORDS, PERCENT = 5, 75
 HALVES, ROWS = 16, 2
@@ -47,8 +49,10 @@ SIGNED, LEAST_AGREEING = 128, 72
 FIRST_TAKE, FASTER = 4, 16
 #: Comparisons that one round makes at once, behind the first: the squares of the sizes of the groups that stay.
 LAST_ROUND = 200_000_000
-#: Nodes of a group that one task compares with all others of it.
-SLICE = 512
+#: Nodes of a group whose pairs are rows of a join; larger ones are compared in blocks of so many nodes by so many.
+PAIRED, SLICE, PART = 64, 512, 8192
+#: Pairs that a task weighs at once.
+AT_ONCE = 1 << 19
 _seed = np.arange(1, 2 * SIGNED + 1, dtype=np.uint64)
 FACTORS = mix(_seed * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -136,6 +140,108 @@ def may_link(n_a: Column, low_a: Column, n_b: Column, low_b: Column) -> Column:
     return fits & (differ <= SIGNED - LEAST_AGREEING)
 
 
+def _keys_of(column: pa.ChunkedArray, pad: int) -> np.ndarray:
+    """Half keys of all rows, filled up with ``pad``."""
+    flat, at = lists_of(column.combine_chunks())
+    n = np.diff(at)
+    out = np.full((len(n), HALVES), pad, np.int64)
+    out[np.arange(HALVES) < n[:, None]] = flat
+    return out
+
+
+def _differing(low_a: np.ndarray, low_b: np.ndarray) -> np.ndarray:
+    """Number of minhash bytes in which each row of one side differs from each of the other, as :func:`may_link` counts."""
+    out = np.zeros((len(low_a), len(low_b)), np.uint8)
+    for i in range(SIGNED // 8):
+        some = low_a[:, i, None] ^ low_b[None, :, i]
+        some |= some >> np.uint64(4)
+        some &= np.uint64(0x0F0F0F0F0F0F0F0F)
+        some += np.uint64(0x0F0F0F0F0F0F0F0F)
+        out += np.bitwise_count(some & np.uint64(0x1010101010101010))
+    return out
+
+
+MET = "h long, slice long, part long, node long, others array<long>"
+
+
+def _met(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+    """Nodes of a block that may have links: those of one side alone, those of the other with the nodes they may be linked with."""
+    none = pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.list_(pa.int64()))], MET.replace(" array<long>", "").replace(" long", "").split(", "))
+    if not one.num_rows or not two.num_rows:
+        return none
+    h = key[0].as_py()
+    column = lambda t, name: t.column(name).to_numpy()
+    a, n_a, comp_a = (column(one, c) for c in ("node", "n", "comp"))
+    low_a, left_a, right_a = lists_of(one.column("low").combine_chunks())[0].view(np.uint64).reshape(len(a), -1), _keys_of(one.column("left"), NO_ID), _keys_of(one.column("right"), NO_ID)
+    used, nodes, others = np.zeros(len(a), bool), [], []
+    step = max(1, AT_ONCE // len(a))
+    for lo in range(0, two.num_rows, step):
+        rows = two.slice(lo, step)
+        b, n_b, comp_b = (column(rows, c) for c in ("node", "n", "comp"))
+        low_b, left_b, right_b = lists_of(rows.column("low").combine_chunks())[0].view(np.uint64).reshape(len(b), -1), _keys_of(rows.column("left"), NO_ID + 1), _keys_of(rows.column("right"), NO_ID + 1)
+        fits = np.minimum.outer(n_a, n_b) * 100 >= np.maximum.outer(n_a, n_b) * PERCENT
+        fits &= (a[:, None] < b) & (comp_a[:, None] != comp_b) & (_differing(low_a, low_b) <= SIGNED - LEAST_AGREEING)
+        y, x = np.nonzero(fits.T)
+        for c in range(0, len(x), AT_ONCE // 8):
+            i, j = x[c : c + AT_ONCE // 8], y[c : c + AT_ONCE // 8]
+            common = (left_a[i][:, :, None] == left_b[j][:, None, :]).any(2)
+            mine = np.where(common, left_a[i], np.iinfo(np.int64).max).min(1) == h
+            i, j = i[mine], j[mine]
+            table = (right_a[i][:, :, None] == right_b[j][:, None, :]).any((1, 2))
+            i, j = i[table], j[table]
+            if len(i):
+                used[i] = True
+                cuts = np.flatnonzero(np.diff(j)) + 1
+                nodes.append(b[j[np.concatenate([[0], cuts])]])
+                others += np.split(a[i], cuts)
+    if not nodes:
+        return none
+    nodes = np.concatenate([a[used], *nodes])
+    sizes = np.concatenate([[0], np.zeros(int(used.sum()), np.int64), [len(x) for x in others]])
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(others)))
+    return pa.table([*[pa.array(np.full(len(nodes), k.as_py(), np.int64)) for k in key], pa.array(nodes), lists], none.column_names)
+
+
+def _joining(block: pa.Table) -> pa.Table:
+    """Links of a block that join something: at most one for each node."""
+    flat, at = lists_of(block.column("others").combine_chunks())
+    node, full = block.column("node").to_numpy(), np.diff(at) > 0
+    body = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("body")]
+    alone = np.flatnonzero(~full)
+    alone = alone[np.argsort(node[alone])]
+    root, out = {int(k): int(k) for k in node[alone]}, []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for r in np.flatnonzero(full):
+        which = alone[np.searchsorted(node[alone], flat[at[r] : at[r + 1]])]
+        size = np.array([len(body[k]) for k in which])
+        near = np.concatenate([body[k] for k in which])
+        place = np.minimum(np.searchsorted(body[r], near), len(body[r]) - 1)
+        both = np.add.reduceat((body[r][place] == near).astype(np.int64), np.cumsum(size) - size)
+        linked = node[which[100 * both >= PERCENT * (size + len(body[r]) - both)]].tolist()
+        for k in {top(k) for k in linked}:
+            out.append((k, int(node[r])))
+            root[k] = top(linked[0])
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _block_links(full: DataFrame, firsts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between ``firsts`` and later nodes of other components in their groups."""
+    key = ["h", "slice", "part"]
+    dealt = lambda column, of: F.pmod(F.xxhash64("node", F.lit(column)), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    one = firsts.withColumn("slice", dealt("slice", "slices")).withColumn("part", each("parts"))
+    two = full.withColumn("slice", each("slices")).withColumn("part", dealt("part", "parts"))
+    one, two = (df.toDF(*df.columns) for df in (one, two))  # columns of their own: both come from one table
+    met = written(one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_met, MET))
+    return met.join(bodies, "node").groupBy(*key).applyInArrow(_joining, "a long, b long")
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns])
 
@@ -190,27 +296,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     take = FIRST_TAKE
     while True:
         seen = Observation()
-        active = written(mixed(with_comp(group)).observe(seen, F.sum("size").alias("squares")))
+        active = written(mixed(with_comp(group)).observe(seen, F.sum("size").alias("squares"), F.max("size").alias("largest")))
         squares = seen.get["squares"]
         if squares is None:
             break
         last = take > FIRST_TAKE and squares <= LAST_ROUND
-        full = active.join(keys, "node").withColumn("slices", F.ceil(F.col("size") / SLICE)).drop("size")
+        full = active.join(keys, "node")
         firsts = full
         if not last:
             order = F.row_number().over(Window.partitionBy("h").orderBy("node"))
             pivots = written(active.withColumn("at", order).where(F.col("at") <= take).select("h", "node"))
             firsts = full.join(pivots, ["h", "node"], "left_semi")
-        one = firsts.withColumn("slice", F.pmod(F.xxhash64("node"), "slices"))  # a large group is met by its nodes slice by slice
-        one = one.select("h", "slice", *[F.col(c).alias("a" if c == "node" else f"{c}_a") for c in one.columns if c not in ("h", "slice", "slices")])
-        two = full.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-        two = two.select(*[F.col(c).alias("b" if c == "node" else f"{c}_b") for c in two.columns if c != "slices"])
-        met = one.join(
-            two,
-            (F.col("h") == F.col("h_b")) & (F.col("slice") == F.col("slice_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
-            & possible & F.arrays_overlap("right_a", "right_b") & (F.get(F.array_sort(F.array_intersect("left_a", "left_b")), 0) == F.col("h")),
+        few = F.col("size") <= PAIRED
+        met = _side(firsts.where(few), "a").join(
+            _side(full.where(few), "b"),
+            (F.col("h_a") == F.col("h_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+            & possible & F.arrays_overlap("right_a", "right_b") & (F.get(F.array_sort(F.array_intersect("left_a", "left_b")), 0) == F.col("h_a")),
         )
         links = _verified(met.select("a", "b"), bodies)
+        if seen.get["largest"] > PAIRED:
+            blocks = [df.where(~few).withColumn("slices", F.ceil(F.col("size") / SLICE)).withColumn("parts", F.ceil(F.col("size") / PART)) for df in (full, firsts)]
+            links = written(links.unionByName(_block_links(*blocks, bodies)))
         if not links.isEmpty():
             old = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
             comp = written(components(old.unionByName(links)))

@@ -73,6 +73,35 @@ def test_pairs_at_the_bound(docs_of):
     assert result(tensor_minhash.report(docs_of(docs))) == brute(docs)
 
 
+def near_group(docs, rng, n, edits):
+    base = [f"x{i}" for i in range(150)]
+    for k in range(n):  # up to `edits` words are replaced: some texts are linked with many others, some with none
+        words = list(base)
+        for j in rng.choice(150, int(rng.integers(0, edits)), replace=False):
+            words[j] = f"y{rng.integers(6)}_{j}"
+        docs[k] = " ".join(words)
+
+
+def test_large_groups_in_blocks_equal_brute_force(docs_of, monkeypatch):
+    docs, rng = {}, np.random.default_rng(8)
+    near_group(docs, rng, 160, 12)
+    want = brute(docs)
+    for slice_, part, last in ((512, 8192, 200_000_000), (30, 40, 0)):  # one block; several, and rounds of first nodes
+        for name, value in (("SLICE", slice_), ("PART", part), ("LAST_ROUND", last)):
+            monkeypatch.setattr(tensor_minhash, name, value)
+        assert result(tensor_minhash.report(docs_of(docs))) == want
+
+
+def test_pairs_of_a_large_group_are_no_rows(docs_of, monkeypatch):
+    docs, rng = {}, np.random.default_rng(8)
+    near_group(docs, rng, 160, 14)
+    rows = []
+    verified = tensor_minhash._verified
+    monkeypatch.setattr(tensor_minhash, "_verified", lambda pairs, bodies: (rows.append(pairs.count()), verified(pairs, bodies))[1])
+    assert result(tensor_minhash.report(docs_of(docs))) == brute(docs)
+    assert sum(rows[1:]) < 10 * 160, rows  # the first ones are stars
+
+
 def test_edge_cases(docs_of):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(5, text), (5, text), (None, text.upper()), (6, "one"), (7, "one"), (8, "zz " * 300_000), (9, "ZZ " * 200_000)]
