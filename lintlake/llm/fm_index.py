@@ -9,7 +9,8 @@ per document. Nothing is shuffled.
 
 Phrases are the windows of 10 words of each benchmark item, or the whole item if it has fewer. They go to
 the tasks in blocks of at most ``BLOCK_BYTES`` of item text: their number follows the benchmark, each
-block's size is bounded, and every block meets all documents in the same pass over them.
+block's size is bounded, and every block meets all documents in the same pass over them. One Python worker a task
+takes all blocks in turn, and cuts the spans out: texts go to Python once.
 
 Defined results: nulls and empty texts have no words and no hits; items without words, or without an id,
 match nothing; repeated items count once; repeated documents are judged each for itself; extra columns
@@ -218,8 +219,22 @@ N_WORDS, LO, HI, ITEMS = "__leak_words", "__leak_lo", "__leak_hi", "__leak_items
 FOUND = [(N_WORDS, "bigint"), (LO, "array<int>"), (HI, "array<int>"), (ITEMS, "array<string>")]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the columns of :data:`FOUND` at the end: words, merged ranges of hit words, items that occur."""
+def _in_turn(steps: list):
+    """All steps in one Python worker: each takes the batches of its predecessor as they come."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, last=None) -> DataFrame:
+    """``docs`` with the columns of :data:`FOUND` at the end: words, merged ranges of hit words, items that occur.
+
+    With ``last``, that function of batches, which gives the columns of ``docs``, follows in the same worker.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -230,11 +245,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     found = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in FOUND]
     schema = T.StructType([*docs.schema.fields, *found])
     out = docs.select("*", *[(F.lit(0) if k == "bigint" else F.array()).cast(k).alias(n) for n, k in FOUND])
+    steps = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         phrases = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in part], window))
-        out = out.mapInArrow(_search(phrases, column, to_arrow_schema(schema)), schema)
-    return out
+        steps.append(_search(phrases, column, to_arrow_schema(schema)))
+    return out.mapInArrow(_in_turn([*steps, last] if last else steps), docs.schema if last else schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -274,8 +290,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """``docs`` without the spans of benchmark phrases; a document all of whose words are hit goes."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    found = find_leaks(docs, benchmark, window)
-    return found.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns), to_arrow_schema(docs.schema)), docs.schema)
+    return find_leaks(docs, benchmark, window, last=_cut(docs.columns.index("text"), len(docs.columns), to_arrow_schema(docs.schema)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 64, 4, 2
 BLOCK = 1024
 SALT = 16
 FIT_ROWS, HIDDEN, EPOCHS, BATCH = 20_000, 32, 40, 256
+#: Words whose vectors are held at once, or those of one text.
+POOLED = 1 << 15
 THRESHOLD = 0.3
 HELD_OUT = 5
 
@@ -49,31 +51,29 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray):
     return (hashes >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), np.searchsorted(starts, offsets), starts, ends
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vector of every bucket."""
+def index_vectors() -> np.ndarray:
+    """Places of the index vector of every bucket; the signs take turns, beginning with plus."""
     h = mix(np.arange(1, BUCKETS * NONZERO + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(BUCKETS, NONZERO)
-    signs = np.where(np.arange(NONZERO) % 2 == 0, 1, -1)
-    return (h % np.uint64(DIMS)).astype(np.int64), np.broadcast_to(signs, (BUCKETS, NONZERO))
+    return (h % np.uint64(DIMS)).astype(np.int64)
 
 
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the index vectors of neighbours, and counts, of the documents of a task."""
-    places, signs = index_vectors()
+    places = index_vectors()
     total = np.zeros(BUCKETS * DIMS, np.int64)
     count = np.zeros(BUCKETS, np.int64)
     for batch in chunks(batches):
         bucket, first, _, _ = tokens_of(*texts_of(batch.column("text")))
         count += np.bincount(bucket, minlength=BUCKETS)
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        where, sign = [], []
+        pairs = []
         for step in range(1, REACH + 1):
             same = text[step:] == text[:-step]
             a, b = bucket[:-step][same], bucket[step:][same]
-            for word, neighbour in ((a, b), (b, a)):
-                where.append((word[:, None] * DIMS + places[neighbour]).ravel())
-                sign.append(signs[neighbour].ravel())
-        if len(bucket):
-            total += np.bincount(np.concatenate(where), np.concatenate(sign), BUCKETS * DIMS).astype(np.int64)
+            pairs += [(a, b), (b, a)]
+        for k in range(NONZERO if len(bucket) else 0):  # one place at a time: what a worker holds is a part of the chunk's pairs
+            where = np.concatenate([word * DIMS + places[neighbour, k] for word, neighbour in pairs])
+            (np.subtract if k % 2 else np.add)(total, np.bincount(where, minlength=BUCKETS * DIMS), out=total)
     salt = TaskContext.get().partitionId() % SALT
     yield _blocks(salt, total.reshape(BUCKETS, DIMS), count)
 
@@ -126,7 +126,12 @@ def features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.n
     if not len(full):
         return out
     at = first[full]
-    out[full, :DIMS] = np.add.reduceat(vectors[bucket], at, axis=0) / size[full, None] * 4
+    i = 0
+    while i < len(full):  # some texts at a time: the vectors of all words of a chunk are much larger than the chunk
+        j = max(i + 1, int(np.searchsorted(first[full + 1], at[i] + POOLED, side="right")))
+        some = full[i:j]
+        out[some, :DIMS] = np.add.reduceat(vectors[bucket[at[i] : first[some[-1] + 1]]], at[i:j] - at[i], axis=0) / size[some, None] * 4
+        i = j
     text = np.repeat(np.arange(len(n)), n)
     by = np.lexsort((bucket, text))
     new = np.ones(len(by), bool)

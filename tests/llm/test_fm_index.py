@@ -71,6 +71,19 @@ def test_edge_cases(spark, docs_of):
     assert fm_index.decontaminate(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [20, 1 << 20])
+def test_blocks_and_cut_share_a_worker(spark, docs_of, block):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    items = [(1, "a b c d e f g h i j"), (2, "k l m n o p"), (3, "q r")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of([(1, "x a b c d e f g h i j y k l m n o p"), (2, "q r"), (3, None), (4, "z q. r z")])
+    for df in (fm_index.decontaminate(docs, bench), fm_index.find_leaks(docs, bench, 10, block), fm_index.find_leaks(docs, bench, 10, block, fm_index._cut(1, 5, to_arrow_schema(docs.schema)))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert df.columns == docs.columns
+    assert {r.doc_id: r.text for r in df.collect()} == {1: "x  y ", 3: None, 4: "z  z"}
+
+
 def test_index_ranks_and_places():
     rng = np.random.default_rng(3)
     seq = np.append(rng.integers(1, 5, 700), 0)

@@ -68,3 +68,33 @@ def test_clashing_score_column(spark, docs_of):
     kept = ri.accepted(docs, labels)
     assert kept.columns == docs.columns
     assert kept.count() == 6
+
+
+def test_a_chunk_takes_little_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from lintlake.llm.text_arrays import texts_of
+
+    monkeypatch.setattr(ri, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}," for x in rng.integers(0, 3000, 150)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    vectors = rng.random((ri.BUCKETS, ri.DIMS)).astype(np.float32)
+    list(ri._gather([batch]))  # tables that a worker keeps
+    for work, most in ((lambda: list(ri._gather([batch])), 110), (lambda: ri.features(*texts_of(batch.column("text")), vectors), 60)):
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < most << 20
+        tracemalloc.stop()
+
+
+def test_texts_are_pooled_alike_alone_and_together():
+    rng = np.random.default_rng(6)
+    bodies = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)).encode() for n in (0, 3, 2 * ri.POOLED, 1, 0, ri.POOLED - 2, 5, 900, 0)]
+    vectors = rng.random((ri.BUCKETS, ri.DIMS)).astype(np.float32)
+    alone = [ri.features(np.frombuffer(b, np.uint8), np.array([0, len(b)]), vectors)[0] for b in bodies]
+    data, offsets = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)])
+    assert (ri.features(data, offsets, vectors) == np.array(alone)).all()
